@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import digests
+from .language_id import fit, held_out, identify
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,5 +32,5 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES: dict[str, Query] = {"op5_token_counts": op5_token_counts, "op8_bpe_codec": op8_bpe_codec}
+QUERIES: dict[str, Query] = {"op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op8_bpe_codec": op8_bpe_codec}
 ORACLES: dict[str, str] = {}
