@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import digests
 from .language_id import fit, held_out, identify
 from .token_counts import token_counts
+from .url_filter import Rule, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,5 +33,43 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES: dict[str, Query] = {"op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op8_bpe_codec": op8_bpe_codec}
-ORACLES: dict[str, str] = {}
+#: The rules of the url query.
+RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE page AS (
+  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM page
+), rules(rhost, rpath, rverdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+links AS (
+  SELECT regexp_extract(url, '^([^#]*)', 1) AS a, url, unnest(regexp_extract_all(html, '(?i)(<link\b[^>]*>|<meta\b[^>]*>)', 1)) AS link FROM page
+  WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')
+), target AS (
+  SELECT a, url, replace(regexp_extract(link, '(?i)(?:\bhref\s*=\s*|\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*)["'']?\s*([^"''>\s]+)', 1), '&amp;', '&') AS t FROM links
+  WHERE regexp_matches(link, '(?i)rel\s*=\s*["'']?canonical\b|http-equiv\s*=\s*["'']?refresh\b')
+), edge AS (
+  SELECT a, regexp_extract(CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^/?#]*:)', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || t ELSE t END, '^([^#]*)', 1) AS b
+  FROM target WHERE t <> ''
+), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(n, m) AS (SELECT a, a FROM both_ways UNION SELECT r.n, e.b FROM reach r JOIN both_ways e ON r.m = e.a),
+urls AS (SELECT regexp_extract(url, '^([^#]*)', 1) AS n, host, path FROM split WHERE url IS NOT NULL),
+ruled AS (
+  SELECT u.n, arg_max(rverdict, length(rhost || rpath)) AS v FROM urls u JOIN rules ON (u.host = rhost OR ends_with(u.host, '.' || rhost)) AND starts_with(u.path, rpath) GROUP BY u.n
+), carried AS (SELECT reach.n, min(v) AS v FROM reach JOIN ruled ON reach.m = ruled.n GROUP BY reach.n),
+own AS (
+  SELECT s.page_id, s.url, s.host, s.path, (SELECT arg_max(struct_pack(r := rhost || rpath, v := rverdict), length(rhost || rpath)) FROM rules WHERE (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)) AS hit FROM split s
+)
+SELECT page_id, host, path, hit.r AS rule, coalesce(hit.v, CASE WHEN c.v = 'block' THEN 'block' END, 'allow') AS verdict
+FROM own LEFT JOIN carried c ON c.n = regexp_extract(own.url, '^([^#]*)', 1)
+"""
+
+
+QUERIES: dict[str, Query] = {"op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec}
+ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
