@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lm_score
 from .bpe_codec import digests
 from .language_id import fit, held_out, identify
 from .token_counts import token_counts
@@ -71,5 +72,11 @@ FROM own LEFT JOIN carried c ON c.n = regexp_extract(own.url, '^([^#]*)', 1)
 """
 
 
-QUERIES: dict[str, Query] = {"op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 7)
+    return lm_score.score(docs, lm_score.fit(docs.where(~out))).withColumn("held_out", out)
+
+
+QUERIES: dict[str, Query] = {"op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
