@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import lm_score
 from .bpe_codec import digests
+from .jaccard_join import similarity_classes
 from .language_id import fit, held_out, identify
 from .token_counts import token_counts
 from .url_filter import Rule, judge
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()).select("text", "lang"))
@@ -78,5 +83,5 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.fit(docs.where(~out))).withColumn("held_out", out)
 
 
-QUERIES: dict[str, Query] = {"op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score}
+QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
