@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import lm_score
 from .bpe_codec import digests
 from .jaccard_join import similarity_classes
 from .language_id import fit, held_out, identify
+from .substring_dedup import deduplicate
 from .token_counts import token_counts
 from .url_filter import Rule, judge
 
@@ -83,5 +85,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.fit(docs.where(~out))).withColumn("held_out", out)
 
 
-QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
