@@ -19,7 +19,7 @@ _LOW40 = np.uint64((1 << 40) - 1)
 #: Weights of the bigram against the unigram from which each class of histories takes its own.
 GRID = np.array([0, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9, 0.97])
 CLASSES = 24
-_KEYS = 16 << 20
+_KEYS = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -295,7 +295,7 @@ def _each_slice(docs: DataFrame, model: Fitted, make, schema: str, whole: bool)
         del rows
 
         def run(batches: Iterator[pa.RecordBatch], filt=filt, span=span) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text"):
+            for batch in pieces(batches, "text", 4 << 20):
                 yield produce(batch, held.value, filt.value, span)
 
         if small:

@@ -18,6 +18,8 @@ LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240607)
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITION_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are hashed at a time.
+_BLOCK = 1 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -59,8 +61,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = offsets[:-1][offsets[:-1] < n]
     opens[first] = solid[first]
     starts = np.flatnonzero(opens)
-    kept = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
-    return data[solid], np.append(kept[starts], kept[-1]), np.searchsorted(starts, offsets)
+    letters = data[solid]
+    closes = solid
+    closes[:-1] &= ~solid[1:] | opens[1:]
+    sizes = np.flatnonzero(closes) + 1 - starts
+    return letters, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,18 +81,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 def hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _BYTE_CODE) -> np.ndarray:
     """A 64-bit hash of each byte string: a sum of byte codes times powers by position, mixed with the length."""
     lengths = np.diff(offsets)
-    if len(lengths) == 0:
-        return np.zeros(0, np.uint64)
-    longest = int(lengths.max(initial=0))
-    powers = np.cumprod(np.full(max(longest, 1), _POSITION_BASE, np.uint64))
     total = np.zeros(len(lengths), np.uint64)
-    full = np.flatnonzero(lengths)
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(offsets[:-1], lengths)
-    value = table[data]
-    value *= powers[place]
-    if len(full):
-        total[full] = np.add.reduceat(value, offsets[:-1][full])
+    if len(lengths) == 0:
+        return total
+    powers = np.cumprod(np.full(max(int(lengths.max()), 1), _POSITION_BASE, np.uint64))
+    cuts = np.unique(np.append(np.searchsorted(offsets[:-1], np.arange(0, len(data) + 1, _BLOCK)), len(lengths)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        start, own = offsets[i], lengths[i:j]
+        place = np.arange(offsets[j] - start, dtype=np.int64)
+        place -= np.repeat(offsets[i:j] - start, own)
+        value = powers[place]
+        value *= table[data[start : offsets[j]]]
+        full = np.flatnonzero(own)
+        if len(full):
+            total[i + full] = np.add.reduceat(value, offsets[i:j][full] - start)
     return mix(total + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
