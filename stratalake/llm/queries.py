@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import lm_score
 from .bpe_codec import digests
+from .decontaminate import contaminated
 from .jaccard_join import similarity_classes
 from .language_id import fit, held_out, identify
 from .substring_dedup import deduplicate
@@ -33,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -90,5 +95,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
+QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
