@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score
+from . import lm_score, toxicity
 from .bpe_codec import digests
 from .decontaminate import contaminated
 from .jaccard_join import similarity_classes
@@ -42,6 +42,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.predict(docs, toxicity.fit(docs, marks, ["low_quality", "toxic"]))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -95,5 +101,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
+QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}

@@ -50,9 +50,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every row: their bytes back to back, word offsets into them, and row offsets into the words."""
-    solid = ~IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every row, or runs of bytes that are not ``outside``: their bytes back to back, word offsets into them, and row offsets into the words."""
+    solid = ~outside[data]
     n = len(data)
     if n == 0:
         return data, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
