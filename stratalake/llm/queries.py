@@ -13,6 +13,7 @@ from .bpe_codec import digests
 from .decontaminate import contaminated
 from .jaccard_join import similarity_classes
 from .language_id import fit, held_out, identify
+from .permutation_index import nearest
 from .substring_dedup import deduplicate
 from .token_counts import token_counts
 from .url_filter import Rule, judge
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -101,5 +107,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
+QUERIES: dict[str, Query] = {"op1_permutation_index": op1_permutation_index, "op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
