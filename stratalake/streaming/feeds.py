@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.log import Log
@@ -21,43 +20,6 @@ def append_stream(source: DataFrame, table: Table, application: str, checkpoint:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-class _VersionReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, start: int):
-        self.path, self.start = path, start
-
-    def initialOffset(self) -> dict:
-        return {"version": self.start}
-
-    def read(self, start: dict):
-        versions = self._between(start["version"], None)
-        end = versions[-1] + 1 if versions else start["version"]
-        return iter([(v,) for v in versions]), {"version": end}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([(v,) for v in self._between(start["version"], end["version"])])
-
-    def commit(self, end: dict) -> None:
-        pass
-
-    def _between(self, start: int, end: int | None) -> list[int]:
-        log = Log(SparkSession.active(), self.path)
-        return [v for v in log.versions() if v >= start and (end is None or v < end)]
-
-
-class VersionSource(DataSource):
-    """A stream of a table's new versions; its offset is the next version. Rows are fetched by `change_stream`, so they never pass through the driver."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "stratalake_versions"
-
-    def schema(self) -> str:
-        return "version long"
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _VersionReader(self.options["path"], int(self.options.get("start", "0")))
-
-
 def change_stream(spark: SparkSession, path: str, handle, checkpoint: str, start: int = 0) -> StreamingQuery:
     """Calls ``handle(changes, batch_id)`` with the change feed of the versions that came since the last batch, and ends when it has caught up.
 
