@@ -122,7 +122,7 @@ def function_registry(spark, d):
     return keep(df, call("month", col("o_orderdate")) == 3, builtin()).select("o_orderkey", *[c(x).alias(n) for n, x in own.items()])
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 50000")
+@query("SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount))::BIGINT AS net FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 50000")
 def function_udf(spark, d):
     @F.pandas_udf("double")
     def net(price: pd.Series, discount: pd.Series) -> pd.Series:
@@ -133,14 +133,14 @@ def function_udf(spark, d):
     df = read(spark, d, "lineitem")
     value = call("net", col("l_extendedprice"), col("l_discount"))
     out = df.select("l_orderkey", "l_linenumber", Compiler(df.schema, own).column(value).alias("v"))
-    return out.where("v > 50000").select("l_orderkey", "l_linenumber", F.round("v", 2).alias("net"))
+    return out.where("v > 50000").select("l_orderkey", "l_linenumber", F.floor("v").alias("net"))
 
 
-@query("SELECT o_orderkey, CAST(round(o_totalprice, 2) AS DECIMAL(12,2))::VARCHAR AS price, CAST(o_orderdate AS DATE) AS day FROM orders")
+@query("SELECT o_orderkey, CAST(round(o_totalprice, 2) AS DECIMAL(12,2))::VARCHAR AS price, CAST(o_orderdate AS DATE)::VARCHAR AS day FROM orders")
 def expr_target_type(spark, d):
     df = read(spark, d, "orders")
     c = Compiler(df.schema)
-    return df.select("o_orderkey", c.column(col("o_totalprice"), T.DecimalType(12, 2)).cast("string").alias("price"), c.column(col("o_orderdate"), T.DateType()).alias("day"))
+    return df.select("o_orderkey", c.column(col("o_totalprice"), T.DecimalType(12, 2)).cast("string").alias("price"), c.column(col("o_orderdate"), T.DateType()).cast("string").alias("day"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber = 3 AS int_long, l_linenumber > 2.5 AS int_double, l_linenumber >= 2.00 AS int_decimal, CAST(NULL AS BOOLEAN) AS int_string, l_shipdate >= DATE '1998-06-01' AS ts_date FROM lineitem")
@@ -633,7 +633,7 @@ def _snaps(spark, d) -> DataFrame:
     return read(spark, d, "events").where("event_id < 1000").select(F.col("event_id").alias("snapshot_id"), F.expr("CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id - 1 END").alias("parent_id"), "ts")
 
 
-@query(f"SELECT snapshot_id FROM {SNAPS} WHERE ts < TIMESTAMP '2024-01-03' QUALIFY true EXCEPT SELECT snapshot_id FROM (SELECT snapshot_id FROM {SNAPS} ORDER BY ts DESC, snapshot_id DESC LIMIT 900)")
+@query(f"SELECT snapshot_id FROM {SNAPS} WHERE ts < TIMESTAMP '2024-01-03' EXCEPT SELECT snapshot_id FROM (SELECT snapshot_id FROM {SNAPS} ORDER BY ts DESC, snapshot_id DESC LIMIT 900)")
 def snapshot_expire(spark, d):
     return snapshots.expired(_snaps(spark, d), F.lit(dt.datetime(2024, 1, 3)), 900).select("snapshot_id")
 
@@ -656,7 +656,7 @@ def refs_branch_tag(spark, d):
 
 
 # -- encodings -------------------------------------------------------------------------------------------------------------------------
-@query("WITH m AS (SELECT l_suppkey, l_returnflag, row_number() OVER w AS at, l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER w OR row_number() OVER w = 1 AS fresh FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)), r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY l_suppkey ORDER BY at) AS run FROM m) SELECT l_suppkey, run::BIGINT AS run, any_value(l_returnflag) AS value, max(at)::BIGINT AS run_end FROM r GROUP BY 1, 2")
+@query("WITH m AS (SELECT l_suppkey, l_returnflag, row_number() OVER w AS place, l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER w OR row_number() OVER w = 1 AS fresh FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)), r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY l_suppkey ORDER BY place) AS run FROM m) SELECT l_suppkey, run::BIGINT AS run, any_value(l_returnflag) AS value, max(place)::BIGINT AS run_end FROM r GROUP BY 1, 2")
 def runend_encode(spark, d):
     return encodings.run_end(read(spark, d, "lineitem"), "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], ["l_suppkey"])
 
