@@ -88,7 +88,7 @@ class Ref(Expr):
 @_node
 class Lit(Expr):
     value: Any
-    type: T.DataType | None = None
+    type: T.DataType | str | None = None
 
 
 @_node
@@ -164,7 +164,7 @@ def col(name: str) -> Ref:
 
 
 def lit(value: Any, type: T.DataType | str | None = None) -> Lit:
-    return Lit(value, T._parse_datatype_string(type) if isinstance(type, str) else type)
+    return Lit(value, type)
 
 
 def call(name: str, *args: Any) -> Call:
@@ -251,7 +251,7 @@ DEFAULT = builtin()
 def literal_type(x: Lit) -> T.DataType:
     """Spark's type of a literal."""
     if x.type is not None:
-        return x.type
+        return T._parse_datatype_string(x.type) if isinstance(x.type, str) else x.type
     v = x.value
     if v is None:
         return T.NullType()
