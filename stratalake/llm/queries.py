@@ -107,5 +107,59 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_permutation_index": op1_permutation_index, "op2_jaccard_join": op2_jaccard_join, "op3_language_id": op3_language_id, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_bpe_codec": op8_bpe_codec, "op9_lm_score": op9_lm_score, "op10_substring_dedup": op10_substring_dedup}
-ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
+ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, md5(text) AS dg, regexp_extract_all(translate(text, {ABC}), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), u AS (
+  SELECT dg, min(doc_id) AS first_id, count(*) AS copies, any_value(ws) AS ws FROM d WHERE dg IS NOT NULL GROUP BY dg
+), s AS (
+  SELECT DISTINCT dg, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g
+  FROM (SELECT dg, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM u WHERE len(ws) > 0)
+), z AS (SELECT dg, count(*) AS n FROM s GROUP BY dg),
+p AS (SELECT a.dg AS a, b.dg AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.dg <> b.dg GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN z za ON za.dg = p.a JOIN z zb ON zb.dg = p.b WHERE 9 * p.c >= 4 * (za.n + zb.n)),
+reach(a, m) AS (SELECT dg, dg FROM u UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.m),
+cls AS (SELECT reach.a AS dg, min(u.first_id) AS class_id FROM reach JOIN u ON u.dg = reach.m GROUP BY 1),
+k AS (SELECT l.a AS dg, sum(u.copies) AS links FROM l JOIN u ON u.dg = l.b GROUP BY 1)
+SELECT d.doc_id, coalesce(cls.class_id, d.doc_id) AS class_id, (coalesce(k.links, 0) + coalesce(u.copies, 1) - 1)::BIGINT AS n_links, coalesce(u.copies, 1)::BIGINT AS n_copies
+FROM d LEFT JOIN u USING (dg) LEFT JOIN cls USING (dg) LEFT JOIN k USING (dg)
+"""
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+ig AS (SELECT item_id, len(ws) AS n, i - 1 AS pos, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+dg AS (SELECT doc_id, len(ws) AS dn, i - 1 AS pos, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+w AS (SELECT DISTINCT dg.doc_id, ig.n, dn, greatest(0, least(dg.pos - ig.pos, dn - ig.n)) AS start FROM dg JOIN ig USING (g)),
+wg AS (SELECT w.doc_id, w.n, w.start, least(w.n, w.dn) - 4 AS size, dg.g, count(*) AS c FROM w JOIN dg ON dg.doc_id = w.doc_id AND dg.pos BETWEEN w.start AND w.start + least(w.n, w.dn) - 5 GROUP BY ALL),
+it AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
+m AS (SELECT wg.doc_id, it.item_id, wg.n, wg.start, any_value(wg.size) AS size, sum(least(wg.c, it.c)) AS inter FROM wg JOIN it ON it.n = wg.n AND it.g = wg.g GROUP BY ALL),
+r AS (SELECT *, inter / (size + n - 4 - inter) AS similarity FROM m WHERE inter >= 0.8 * (size + n - 4 - inter))
+SELECT doc_id, item_id, start::INTEGER AS word_start, n::INTEGER AS n_words, similarity FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+r AS (SELECT doc_id, i, i AS hit FROM g QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) > 1),
+c AS (SELECT t.doc_id, t.i, t.word, max(r.hit) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.i),
+s AS (SELECT doc_id, count(*) FILTER (WHERE gone IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone IS NULL) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(s.n, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+"""
+
+QUERIES: dict[str, Query] = {
+    "op1_permutation_index": op1_permutation_index,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_language_id": op3_language_id,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_token_counts": op5_token_counts,
+    "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
+    "op8_bpe_codec": op8_bpe_codec,
+    "op9_lm_score": op9_lm_score,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_url_filter": OP6_SQL, "op10_substring_dedup": OP10_SQL}
