@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ from .txn import WRITE_SERIALIZABLE, ConcurrentModification, ReadSet, conflict
 
 ROW_ID, FEED_COLUMNS = "__row_id", ["_change_type", "_commit_version", "_commit_timestamp"]
 READER, WRITER = 3, 7
+#: Versions whose file lists a table object keeps.
+KEPT = 4
 FEATURES = {"deletionVectors", "columnMapping", "typeWidening", "rowTracking", "domainMetadata", "identityColumns", "changeDataFeed", "checkConstraints", "appendOnly", "inCommitTimestamp", "v2Checkpoint", "clustering", "variantType", "timestampNtz"}
 
 
@@ -36,9 +39,10 @@ class Snapshot:
     transactions: dict[str, int]
     actions: DataFrame
 
-    @property
+    @cached_property
     def files(self) -> DataFrame:
-        return Log.active(self.actions)
+        """Active files, replayed once for all reads of the version."""
+        return Log.active(self.actions).persist()
 
 
 def _q(name: str) -> Column:
@@ -89,9 +93,15 @@ class Table:
         return cls.create(spark, path, schema, **more)
 
     def refresh(self) -> Table:
-        self._snapshots.clear()
+        for version in list(self._snapshots):
+            self._forget(version)
         return self
 
+    def _forget(self, version: int) -> None:
+        snap = self._snapshots.pop(version)
+        if "files" in snap.__dict__:
+            snap.files.unpersist()
+
     @staticmethod
     def _metadata(schema: T.StructType, partition_by: list[str], properties: dict[str, str]) -> dict:
         return {"metaData": {"id": uuid.uuid4().hex, "name": None, "schemaString": schema.json(), "partitionColumns": partition_by, "configuration": properties, "createdTime": now_ms()}}
@@ -120,6 +130,8 @@ class Table:
                 if d := r["domainMetadata"]:
                     domains.pop(d["domain"], None) if d["removed"] else domains.update({d["domain"]: d["configuration"]})
             txns = {r["txn"]["appId"]: r["txn"]["version"] for r in small if r["txn"]}
+            while len(self._snapshots) >= KEPT:
+                self._forget(min(self._snapshots))
             self._snapshots[version] = Snapshot(version, T.StructType.fromJson(json.loads(meta["schemaString"])), list(meta["partitionColumns"] or []), dict(meta["configuration"] or {}), domains, txns, actions)
         return self._snapshots[version]
 
