@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     minima come from partial aggregates and are joined back, where AQE splits hot nodes. Loops and repeated edges are fine, edges with a
     null end are no edges; no edges give no rows.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     links = checkpointed(edges.where("a <> b").distinct())
     mark = _mark(links)
