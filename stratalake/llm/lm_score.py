@@ -231,7 +231,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text")
         c, base, share, kind = _terms(model_, uni, filt, now, before, 1)
         mine = _mine(now, before, span, model_.regions)
         table = np.stack([np.bincount(kind[mine], np.log10(w * share[mine] + (1 - w) * base[mine]), minlength=CLASSES) for w in GRID])
-        return [table.reshape(1, -1)]
+        return [table.reshape(1, -1).astype(np.float64)]
 
     model_ = _plain(model)
     if n:
@@ -315,18 +315,24 @@ def _each_slice(docs: DataFrame, model: Fitted, make, schema: str, whole: bool)
                 for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["k", "c"])
 
-        def block_of(left: pa.Table, right: pa.Table, filt=filt, span=span) -> pa.Table:
-            keys = right.column("k").to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            own = Unigrams(keys[order], right.column("c").to_numpy()[order])
-            made = [produce(b, own, filt.value, span) for b in pieces(iter(left.combine_chunks().to_batches()), "text")]
-            return pa.Table.from_batches(made)
-
         blocks = max(1, model.regions // 2)
         dealt = docs.select("key", "text", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).alias("block"))
         need = dealt.mapInArrow(words_of, "block long, k long").distinct()
         got = need.join(uni.mapInArrow(open_, "k long, c long"), "k").select("block", "k", "c")
-        yield dealt.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(block_of, out_schema)
+        yield dealt.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_by_block(produce, filt, span), out_schema)
+
+
+def _by_block(produce, filt, span: tuple[int, int]):
+    """Scores a block of texts with the counts of its own words."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = right.column("k").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        own = Unigrams(keys[order], right.column("c").to_numpy()[order])
+        made = [produce(b, own, filt.value, span) for b in pieces(iter(left.combine_chunks().to_batches()), "text")]
+        return pa.Table.from_batches(made) if made else left.slice(0, 0)
+
+    return run
 
 
 def score(docs: DataFrame, model: Fitted, *, text: str = "text", key: str = "doc_id") -> DataFrame:
