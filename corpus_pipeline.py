@@ -16,10 +16,11 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts, texts without letters, and texts of which no language has half. The others stay as they are."""
+    """Rejects documents without a language: null texts, texts without letters, and texts of which no language has half; and those with a null doc_id, which later stages can't name. The others stay as they are."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs.select("doc_id", "text"), model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null").select(docs.columns)
+    found = language_id.with_language(docs, model)
+    label = F.col(found.columns[-1])
+    return found.where((label["lang_pred"] != language_id.UNKNOWN) & (label["score"] >= LEAST_SCORE) & F.col("doc_id").isNotNull()).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts word runs that stand earlier; a text that loses nothing stays as it is, one that loses all its words goes."""
-    done = substring_dedup.deduplicate(docs).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept")
-    joined = docs.join(done, "doc_id", "left").where("n_removed is null or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return joined.withColumns({"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    done = substring_dedup.deduplicate(docs).where("n_removed > 0").select("doc_id", F.struct("n_words", "n_removed", "kept").alias("_cut"))
+    joined = docs.join(done, "doc_id", "left").where("_cut is null or _cut.n_removed < _cut.n_words")
+    cut = {"text": F.coalesce("_cut.kept", "text")} | ({"n_chars": F.coalesce(F.length("_cut.kept").cast("long"), "n_chars")} if "n_chars" in docs.columns else {})
+    return joined.withColumns(cut).select(docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,7 +279,7 @@ def digests(docs: DataFrame, vocabulary: str, *, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in pieces(batches, "text", 12 << 20):
+        for batch in pieces(batches, "text", 6 << 20):
             ids, ends = own.encode(batch.column("text"), pattern)
             data, data_ends = own.decode(ids, ends)
             ids = ids.astype("<u4")

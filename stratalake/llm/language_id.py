@@ -107,7 +107,7 @@ def _learn(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 4 << 20):
             data, offsets = text_bytes(batch.column("text"))
             letters, ends, rows = words(LOWER[data], offsets)
             codes, strings = distinct(letters, ends)
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", key: str = "d
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], object)
         kinds = len(own.languages)
-        for batch in pieces(batches, "text", 12 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             n = batch.num_rows
             data, offsets = text_bytes(batch.column("text"))
             letters, ends, rows = words(LOWER[data], offsets)
@@ -248,6 +248,14 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", key: str = "d
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def with_language(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """All columns of the documents and a struct ``label<lang_pred, score>`` (under a name that they don't have, which comes last), without a shuffle; labels and edge cases as `identify` has them."""
+    name = "label"
+    while name in docs.columns:
+        name = f"_{name}"
+    return identify(docs.withColumn(name, F.struct(*[docs[c] for c in docs.columns])), model, text=text, key=name).select(f"{name}.*", F.struct("lang_pred", "score").alias(name))
+
+
 def _runs(path: np.ndarray, into: np.ndarray, at: np.ndarray, rows: np.ndarray, names: np.ndarray) -> list[list[dict]]:
     """Spans of one language, from the first word of a text to its last; words without a vote go with the span before them."""
     out = []
@@ -269,4 +277,4 @@ def held_out(key: str = "doc_id", modulus: int = 4, rest: int = 2):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == rest, F.lit(False))
 
 
-__all__ = ["Model", "Settings", "fit", "held_out", "identify"]
+__all__ = ["Model", "Settings", "fit", "held_out", "identify", "with_language"]

@@ -22,7 +22,7 @@ _POSITION_BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``max_bytes`` of text each; a longer text is a slice of its own."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -34,6 +34,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
