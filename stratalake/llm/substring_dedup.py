@@ -105,8 +105,8 @@ def _filter_of(packed: DataFrame, regions: int, least: int, settings: Settings)
     return packed.sparkSession.sparkContext.broadcast(Filter(regions, 4, dict(zip(rows.column("region").to_pylist(), rows.column("bits").to_pylist(), strict=True))))
 
 
-def _place_key(ids: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + low.astype(np.uint64))
+def _place_key(ids: np.ndarray, digests: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mix(mix(ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + digests.astype(np.uint64)) + low.astype(np.uint64))
 
 
 def _repeated_anchors(docs: DataFrame, settings: Settings) -> Broadcast | None:
@@ -127,30 +127,30 @@ def _segments(docs: DataFrame, settings: Settings, anchors: Broadcast | None, pl
         for batch in pieces(batches, "text"):
             own, rows = word_hashes(batch.column("text"), lower=False)
             doc, low, high, anchor, hashed = segments(own, rows, settings)
-            ids = _ids(batch.column("id"))[doc]
+            ids, digests = _ids(batch.column("id"))[doc], batch.column("d").to_numpy()[doc]
             keep = np.ones(len(doc), bool)
             if anchors is not None:
                 keep &= anchors.value.level(anchor, 2) > 0
             if places is not None:
-                keep &= places.value.level(_place_key(ids, low), 2) > 0
-            doc, low, high, anchor, hashed, ids = (x[keep] for x in (doc, low, high, anchor, hashed, ids))
-            columns = [pa.array(anchor.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(ids), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
+                keep &= places.value.level(_place_key(ids, digests, low), 2) > 0
+            doc, low, high, anchor, hashed, ids, digests = (x[keep] for x in (doc, low, high, anchor, hashed, ids, digests))
+            columns = [pa.array(anchor.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(ids), pa.array(digests), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
             if content:
                 a, b = rows[:-1][doc] + low, rows[:-1][doc] + high + settings.window
                 columns.append(pa.array([own[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["m", "c", "id", "low", "high", "words"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["m", "c", "id", "d", "low", "high", "words"][: len(columns)])
 
-    return docs.mapInArrow(run, "m long, c long, id long, low int, high int" + ", words binary" * content)
+    return docs.mapInArrow(run, "m long, c long, id long, d long, low int, high int" + ", words binary" * content)
 
 
 def _match(table: pa.Table, settings: Settings) -> pa.Table:
     """Runs of windows of a shard's segments that start earlier, by an index over the segments in order of place."""
     w = settings.window
-    ids, low = table.column("id").to_numpy(), table.column("low").to_numpy()
-    order = np.lexsort([low, ids])
+    ids, digests, low = table.column("id").to_numpy(), table.column("d").to_numpy(), table.column("low").to_numpy()
+    order = np.lexsort([low, digests, ids])
     raw = table.column("words").to_pylist()
     parts = [np.frombuffer(raw[i], np.uint64) for i in order]
-    ids, low = ids[order], low[order].astype(np.int64)
+    ids, digests, low = ids[order], digests[order], low[order].astype(np.int64)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     _, code = np.unique(np.concatenate(parts), return_inverse=True)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -167,14 +167,14 @@ def _match(table: pa.Table, settings: Settings) -> pa.Table:
     own = start[full]
     other = np.searchsorted(begin, early, "right") - 1
     # One place may come twice where repeated rows have one key; a window is no repeat of itself.
-    later = (early < own) & ((ids[other] != ids[seg[full]]) | (low[other] + early - begin[other] != low[seg[full]] + own - begin[seg[full]]))
+    later = (early < own) & ((ids[other] != ids[seg[full]]) | (digests[other] != digests[seg[full]]) | (low[other] + early - begin[other] != low[seg[full]] + own - begin[seg[full]]))
     hit = full[later]
-    where, who = low[seg[hit]] + start[hit] - begin[seg[hit]], ids[seg[hit]]
+    where, who, which = low[seg[hit]] + start[hit] - begin[seg[hit]], ids[seg[hit]], digests[seg[hit]]
     opens = np.ones(len(hit), bool)
-    opens[1:] = (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)
+    opens[1:] = (who[1:] != who[:-1]) | (which[1:] != which[:-1]) | (where[1:] != where[:-1] + 1)
     first = np.flatnonzero(opens)
     last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
-    return pa.table({"id": pa.array(who[first], pa.int64()), "a": pa.array(where[first].astype(np.int32)), "b": pa.array((where[last] + w).astype(np.int32))})
+    return pa.table({"id": pa.array(who[first], pa.int64()), "d": pa.array(which[first], pa.int64()), "a": pa.array(where[first].astype(np.int32)), "b": pa.array((where[last] + w).astype(np.int32))})
 
 
 def _crowded(contents: DataFrame, settings: Settings) -> DataFrame:
@@ -189,22 +189,22 @@ def _crowded(contents: DataFrame, settings: Settings) -> DataFrame:
             n = np.fromiter((len(x) - w + 1 for x in raw), np.int64, len(raw))
             keys = np.concatenate([rolling(x, w)[: len(x) - w + 1] for x in raw])
             at = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(batch.column("low").to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), n)), pa.array(at.astype(np.int32))], ["k", "id", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), n)), pa.array(np.repeat(batch.column("d").to_numpy(), n)), pa.array(at.astype(np.int32))], ["k", "id", "d", "a"])
 
-    keyed = contents.select("id", "low", "words").mapInArrow(run, "k long, id long, a int")
-    first = keyed.groupBy("k").agg(F.min(F.struct("id", "a")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "f")
-    return keyed.join(first, "k").where("id <> f.id or a <> f.a").select("id", "a", (F.col("a") + w).alias("b"))
+    keyed = contents.select("id", "d", "low", "words").mapInArrow(run, "k long, id long, d long, a int")
+    first = keyed.groupBy("k").agg(F.min(F.struct("id", "d", "a")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "f")
+    return keyed.join(first, "k").where("id <> f.id or d <> f.d or a <> f.a").select("id", "d", "a", (F.col("a") + w).alias("b"))
 
 
 def repeats(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Word intervals ``id, a, b`` (b excluded) whose windows stand earlier: at a smaller key, or earlier in the same document. A null key counts as the largest."""
-    docs = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
+    """Word intervals ``id, d, a, b`` (b excluded) whose windows stand earlier: at a smaller key, at a smaller digest ``d`` of the text under the same key, or earlier in the same document. A null key counts as the largest."""
+    docs = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("d"), docs[text].alias("text"))
     anchors = _repeated_anchors(docs, settings)
     own = stash(_segments(docs, settings, anchors, None, False))
-    first = stash(own.groupBy("m", "c").agg(F.min(F.struct("id", "low", "high")).alias("f"), F.count(F.lit(1)).alias("n")))
-    copies = own.join(first.where("n > 1").select("m", "c", "f"), ["m", "c"]).where("id <> f.id or low <> f.low").select("id", F.col("low").alias("a"), (F.col("high") + settings.window).alias("b"))
+    first = stash(own.groupBy("m", "c").agg(F.min(F.struct("id", "d", "low", "high")).alias("f"), F.count(F.lit(1)).alias("n")))
+    copies = own.join(first.where("n > 1").select("m", "c", "f"), ["m", "c"]).where("id <> f.id or d <> f.d or low <> f.low").select("id", "d", F.col("low").alias("a"), (F.col("high") + settings.window).alias("b"))
     kinds = first.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    need = stash(first.join(kinds, "m").select("m", "f.id", "f.low", "k"))
+    need = stash(first.join(kinds, "m").select("m", "f.id", "f.d", "f.low", "k"))
     total, crowds = need.agg(F.count(F.lit(1)), F.count_if(F.col("k") > settings.crowd)).first()
     out = copies
     if total:
@@ -213,14 +213,14 @@ def repeats(docs: DataFrame, settings: Settings = Settings(), *, text: str = "te
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    yield _packed(_place_key(batch.column("id").to_numpy(), batch.column("low").to_numpy().astype(np.int64)), regions, ["region", "keys", "n"])
+                    yield _packed(_place_key(batch.column("id").to_numpy(), batch.column("d").to_numpy(), batch.column("low").to_numpy().astype(np.int64)), regions, ["region", "keys", "n"])
 
-        held = _filter_of(need.select("id", "low").mapInArrow(places, "region int, keys binary, n binary"), regions, 1, settings)
-        contents = _segments(docs, settings, anchors, held, True).join(need.select("m", "id", "low", "k"), ["m", "id", "low"])
+        held = _filter_of(need.select("id", "d", "low").mapInArrow(places, "region int, keys binary, n binary"), regions, 1, settings)
+        contents = _segments(docs, settings, anchors, held, True).join(need.select("m", "id", "d", "low", "k"), ["m", "id", "d", "low"])
         shards = max(1, -(-total // settings.shard))
         calm = contents.where(F.col("k") <= settings.crowd) if crowds else contents
-        dealt = calm.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "id", "low", "words")
-        out = out.unionByName(dealt.groupBy("shard").applyInArrow(lambda table: _match(table, settings), "id long, a int, b int"))
+        dealt = calm.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "id", "d", "low", "words")
+        out = out.unionByName(dealt.groupBy("shard").applyInArrow(lambda table: _match(table, settings), "id long, d long, a int, b int"))
         if crowds:
             out = out.unionByName(_crowded(contents.where(F.col("k") > settings.crowd), settings))
     return out
@@ -230,16 +230,17 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str =
     """``key, n_words, n_removed, kept`` of every document; ``kept`` are the words left, joined by one space.
 
     A word goes if a window of ``window`` words covers it whose words also start earlier, at a smaller key or earlier in the same document.
-    Texts of fewer words, null and empty texts lose nothing (kept is then their words, or empty). Repeated rows with one key are one document:
-    neither is the earlier. Null keys count as the largest key. An empty table gives no rows; other columns are not read.
+    Texts of fewer words, null and empty texts lose nothing (kept is then their words, or empty). Repeated rows of one text under one key are one document:
+    neither is the earlier; other texts under one key, or under the null key, are documents of their own, in order of a hash of the text. Null
+    keys count as the largest key. An empty table gives no rows; other columns are not read.
 
     Windows are dealt to shards by their anchor, the least hash of a few of their words. Anchors that stand once can't repeat and are left out by a
     filter. Equal segments fold into the first of them, with partial aggregates; the distinct ones of a shard are indexed, and each is streamed
     against the index for its matching statistics.
     """
-    given = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.coalesce(docs[key].cast("long"), F.lit(_NO_ID)).alias("id"))
+    given = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.coalesce(docs[key].cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(docs[text]).alias("d"))
     found = stash(repeats(docs, settings, text=text, key=key))
-    spans = found.distinct().groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = found.distinct().groupBy("id", "d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -248,7 +249,7 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str =
             gone = np.zeros(len(ends), np.int32)
             for i, own in enumerate(batch.column("spans").to_pylist()):
                 if own:
-                    a, b = np.array([(x["a"], x["b"]) for x in own]).T + rows[i]
+                    a, b = np.array([(x["a"], x["b"]) for x in own]).T.clip(0, rows[i + 1] - rows[i]) + rows[i]
                     np.add.at(gone, a, 1)
                     np.add.at(gone, b, -1)
             gone = np.cumsum(gone)[:-1] > 0
@@ -263,7 +264,7 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str =
             kept = [out[a : max(a, b - 1)].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["key", "n_words", "n_removed", "kept"])
 
-    joined = given.join(spans, "id", "left").select("key", "text", "spans")
+    joined = given.join(spans, ["id", "d"], "left").select("key", "text", "spans")
     return joined.mapInArrow(run, f"key {given.schema['key'].dataType.simpleString()}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)
 
 

@@ -117,3 +117,21 @@ def test_fm_index_counts():
     full = length == 8
     if full.any():
         assert (index.earliest(low[full], high[full]) <= ends[full] - 7).all()
+
+
+@pytest.mark.parametrize(("crowded", "filtered"), [(40_000, 128 << 20), (2, 0)])
+def test_repeats_under_one_key(spark, crowded, filtered):
+    """Null and repeated keys with other texts: what one of them loses is not cut from the others, and windows at the same place in two of them are repeats."""
+    word = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    shared, early = word("s", 30), word("e", 40)
+    own = {n: word(n, 50) for n in "abcd"}
+    rows = [(1, early), (None, early + " " + own["a"]), (None, own["b"]), (None, shared + " " + own["c"]), (None, shared + " " + own["d"]), (None, "short text"), (7, early), (7, word("f", 60)), (7, "tiny"), (8, word("g", 90))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["n_removed"], r["kept"]) for r in deduplicate(frame, Cut(crowd=crowded, filter_bytes=filtered, shard=7)).collect()]
+    want = [(1, 0, early), (None, 40, own["a"]), (None, 0, own["b"]), (None, 0, "short text"), (7, 40, ""), (7, 0, word("f", 60)), (7, 0, "tiny"), (8, 0, word("g", 90))]
+    place = lambda r: (r[0] is None, r[0] or 0, r[2])
+    whole = [x for x in got if x not in want]
+    assert sorted((x for x in got if x in want), key=place) == sorted(want, key=place)
+    # One of the two texts that share a run, whichever has the smaller hash, keeps it.
+    assert sorted(n for _, n, _ in whole) == [0, 30]
+    assert {kept.removeprefix(shared + " ") for *_, kept in whole} == {own["c"], own["d"]} and all(key is None for key, *_ in whole)
