@@ -16,32 +16,37 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts, texts without letters, and texts of which no language has half; and those with a null doc_id, which later stages can't name. The others stay as they are."""
+    """Rejects documents without a language: null texts, texts without letters, and texts of which no language has half. The others stay as they are."""
     model = language_id.fit(docs.where(~language_id.held_out()))
     found = language_id.with_language(docs, model)
     label = F.col(found.columns[-1])
-    return found.where((label["lang_pred"] != language_id.UNKNOWN) & (label["score"] >= LEAST_SCORE) & F.col("doc_id").isNotNull()).select(docs.columns)
+    return found.where((label["lang_pred"] != language_id.UNKNOWN) & (label["score"] >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, the one with the smallest doc_id."""
-    classes = jaccard_join.similarity_classes(docs)
-    keep = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps one document of each class of near duplicates, the one with the smallest doc_id (null is the largest; ties: the smallest digest of the text), and all null texts."""
+    keep = jaccard_join.representatives(docs)
+    own = docs.where("text is not null").withColumn("_digest", F.md5(F.col("text").cast("binary")))
+    same = (own["_digest"] == keep["digest"]) & own["doc_id"].eqNullSafe(keep["id"])
+    kept = own.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return kept.select(docs.columns).unionByName(docs.where("text is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts word runs that stand earlier; a text that loses nothing stays as it is, one that loses all its words goes."""
-    done = substring_dedup.deduplicate(docs).where("n_removed > 0").select("doc_id", F.struct("n_words", "n_removed", "kept").alias("_cut"))
-    joined = docs.join(done, "doc_id", "left").where("_cut is null or _cut.n_removed < _cut.n_words")
-    cut = {"text": F.coalesce("_cut.kept", "text")} | ({"n_chars": F.coalesce(F.length("_cut.kept").cast("long"), "n_chars")} if "n_chars" in docs.columns else {})
-    return joined.withColumns(cut).select(docs.columns)
+    done = substring_dedup.deduplicate(docs.withColumn("_row", F.struct(*[docs[c] for c in docs.columns if c != "text"])), carry="_row")
+    done = done.where("n_removed = 0 or n_removed < n_words")
+    cut = {c: F.col(f"_row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        cut["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(cut["n_chars"])
+    return done.select(*[cut[c].alias(c) for c in docs.columns])
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    own = docs.withColumn("_digest", F.md5(F.col("text").cast("binary")))
+    found = decontaminate.contaminated(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_digest")
+    return own.join(found.select("_digest").distinct(), "_digest", "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

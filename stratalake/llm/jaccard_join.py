@@ -160,8 +160,28 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings(), *, text
     and the connected parts of these pointers are the candidate groups. A group is compared exactly, all its pairs once, in blocks of bounded
     size that lie in tasks of their own; pairs are counted there and never leave the task, only counts and a spanning forest do.
     """
+    given = _given(docs, text, key)
+    own = _classes(given, settings)
+    names = own.groupBy("component").agg(F.min("first").alias("class_id"))
+    own = own.join(names, "component").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    out = given.select("id", "digest").join(own, "digest", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def representatives(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``id, digest`` of the document that stands for each class: the smallest key, a null key after all others, then the smallest digest. Null texts are not in it."""
+    own = _classes(_given(docs, text, key), settings)
+    best = own.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "digest")).alias("best"))
+    return best.select(F.col("best.first").alias("id"), F.col("best.digest").alias("digest"))
+
+
+def _given(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(docs[key].alias("id"), docs[text].alias("text"), F.md5(docs[text].cast("binary")).alias("digest"))
+
+
+def _classes(given: DataFrame, settings: Settings) -> DataFrame:
+    """``component, digest, copies, first, links`` of every distinct text."""
     depth = matched_depth(settings)
-    given = docs.select(docs[key].alias("id"), docs[text].alias("text"), F.md5(docs[text].cast("binary")).alias("digest"))
     filled = given.where("digest is not null")
     texts = stash(_forest(filled, settings, depth).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.any_value("paths").alias("paths")))
     nodes = texts.select("digest", F.posexplode("paths").alias("tree", "path")).where("path >= 0")
@@ -172,11 +192,7 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings(), *, text
     found = _verify(filled, parts, settings)
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
-    own = texts.select("digest", "copies", "first").join(classes, F.col("digest") == F.col("node"), "left").withColumn("component", F.coalesce("component", "digest")).join(links, "digest", "left").drop("node")
-    names = own.groupBy("component").agg(F.min("first").alias("class_id"))
-    own = own.join(names, "component").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    out = given.select("id", "digest").join(own, "digest", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return texts.select("digest", "copies", "first").join(classes, F.col("digest") == F.col("node"), "left").withColumn("component", F.coalesce("component", "digest")).join(links, "digest", "left").drop("node")
 
 
 def _verify(filled: DataFrame, parts: DataFrame, settings: Settings) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,19 +227,20 @@ def repeats(docs: DataFrame, settings: Settings = Settings(), *, text: str = "te
     return out
 
 
-def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id", carry: str | None = None) -> DataFrame:
     """``key, n_words, n_removed, kept`` of every document; ``kept`` are the words left, joined by one space.
 
     A word goes if a window of ``window`` words covers it whose words also start earlier, at a smaller key or earlier in the same document.
     Texts of fewer words, null and empty texts lose nothing (kept is then their words, or empty). Repeated rows of one text under one key are one document:
     neither is the earlier; other texts under one key, or under the null key, are documents of their own, in order of a hash of the text. Null
-    keys count as the largest key. An empty table gives no rows; other columns are not read.
+    keys count as the largest key. With ``carry`` the rows have that column in place of the key, and ``kept`` is the text as it is where
+    nothing goes. An empty table gives no rows; other columns are not read.
 
     Windows are dealt to shards by their anchor, the least hash of a few of their words. Anchors that stand once can't repeat and are left out by a
     filter. Equal segments fold into the first of them, with partial aggregates; the distinct ones of a shard are indexed, and each is streamed
     against the index for its matching statistics.
     """
-    given = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.coalesce(docs[key].cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(docs[text]).alias("d"))
+    given = docs.select(docs[carry or key].alias("key"), docs[text].alias("text"), F.coalesce(docs[key].cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(docs[text]).alias("d"))
     found = stash(repeats(docs, settings, text=text, key=key))
     spans = found.distinct().groupBy("id", "d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -262,10 +264,13 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str =
             out[at] = letters[mine]
             starts = np.concatenate([[0], np.cumsum(np.where(stay, size + 1, 0))])[rows]
             kept = [out[a : max(a, b - 1)].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["key", "n_words", "n_removed", "kept"])
+            kept = pa.array(kept, pa.binary()).cast(pa.string())
+            if carry:
+                kept = pc.if_else(pa.array(lost > 0), kept, batch.column("text").cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), kept], ["key", "n_words", "n_removed", "kept"])
 
     joined = given.join(spans, ["id", "d"], "left").select("key", "text", "spans")
-    return joined.mapInArrow(run, f"key {given.schema['key'].dataType.simpleString()}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)
+    return joined.mapInArrow(run, f"key {given.schema['key'].dataType.simpleString()}, n_words long, n_removed long, kept string").withColumnRenamed("key", carry or key)
 
 
 __all__ = ["Settings", "deduplicate", "repeats", "segments"]
