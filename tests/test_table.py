@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from stratalake.functions.expr import col
 from stratalake.operators.log import CommitConflict
 from stratalake.operators.schema import can_promote, can_widen, identity
-from stratalake.operators.snapshots import Catalog, Metadata
+from stratalake.operators.snapshots import Catalog, Metadata, expired
 from stratalake.operators.table import Table
 from stratalake.operators.txn import ConcurrentModification, ReadSet, conflict
 
@@ -213,3 +213,13 @@ def test_snapshot_metadata(spark, tmp_path):
         catalog.drop("a", "u")
         catalog.drop_namespace("a")
         assert catalog.namespaces() == []
+
+
+@pytest.mark.parametrize("last", [0, 7, 5000, 20_000])
+def test_expiry_of_many_snapshots(spark, last):
+    """All rows are ranked without one window over them, whatever their number."""
+    rows = spark.range(10_000).select(F.col("id").alias("snapshot_id"), F.timestamp_seconds(F.col("id") * 7919 % 997).alias("ts"))
+    out = expired(rows, F.timestamp_seconds(F.lit(600)), last)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    order = sorted(range(10_000), key=lambda i: (i * 7919 % 997, i), reverse=True)
+    assert sorted(r["snapshot_id"] for r in out.collect()) == sorted(i for i in order[last:] if i * 7919 % 997 < 600)
