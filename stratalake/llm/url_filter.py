@@ -33,15 +33,35 @@ def node(url: Column) -> Column:
     return F.regexp_extract(url, r"^([^#]*)", 1)
 
 
+def _without_dots(url: Column) -> Column:
+    """The url without ``.`` and ``..`` segments in its path."""
+    form = r"^([^/?#]*://[^/?#]*)([^?#]*)(.*)$"
+    segments = F.split(F.regexp_extract(url, form, 2), "/", -1)
+    dots = lambda x: x.isin(".", "..")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")), step)
+    kept = F.when(dots(F.element_at(segments, -1)), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(url.rlike(r"^[^/?#]*://[^/?#]*[^?#]*/\.\.?(?:[/?#]|$)"), F.concat(F.regexp_extract(url, form, 1), F.array_join(kept, "/"), F.regexp_extract(url, form, 3))).otherwise(url)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """A target as seen from a page: absolute, or null where the page's url has no ``://`` to resolve it against."""
+    base = F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(base, F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1)))
+    full = F.when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^([^/?#]*:)", 1), target)).when(target.startswith("/"), F.concat(base, target))
+    full = full.when(target.startswith("?"), F.concat(base, path, target)).when(target.startswith("#"), F.concat(node(url), target)).otherwise(F.concat(folder, target))
+    return _without_dots(F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(base != "", full))
+
+
 def html_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges ``a, b`` from a page to the targets of its canonical link and of its refresh redirect. Targets that start with ``/`` are of the page's own host."""
+    """Edges ``a, b`` from a page to the targets of its canonical link and of its refresh redirect. Relative targets are resolved against the page's url."""
     links = F.filter(F.regexp_extract_all(F.col("html"), F.lit(r"(?i)(<link\b[^>]*>|<meta\b[^>]*>)"), 1), lambda x: x.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
     target = F.regexp_extract("link", r"(?i)(?:\bhref\s*=\s*|\bcontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*)[\"']?\s*([^\"'>\s]+)", 1)
-    base = F.regexp_extract("url", r"^([^/?#]*://[^/?#]*)", 1)
     target = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    target = F.when(target.startswith("//"), F.concat(F.regexp_extract("url", r"^([^/?#]*:)", 1), target)).when(target.startswith("/"), F.concat(base, target)).otherwise(target)
     found = pages.select(pages[url].alias("url"), pages[html].alias("html")).where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh"))
-    return found.select("url", F.explode(links).alias("link")).select(node(F.col("url")).alias("a"), node(target).alias("b")).where("b <> ''")
+    found = found.select("url", F.explode(links).alias("link")).select("url", target.alias("target")).where("target <> ''")
+    return found.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("target"))).alias("b")).where("b <> ''")
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, *, url: str = "url", html: str | None = "html") -> DataFrame:

@@ -117,3 +117,21 @@ def test_nearest(spark, shard):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
     three = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert nearest(three, three.where("vec_id = 0"), 20).count() == 2
+
+
+def test_relative_targets(spark):
+    """Targets are resolved against the page: equal relative names on two hosts are two pages."""
+    from stratalake.llm.url_filter import resolved
+
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", ".": "http://a/b/c/", "..": "http://a/b/",
+        "../g": "http://a/b/g", "../..": "http://a/", "../../../g": "http://a/g", "/./g": "http://a/g", "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "g..": "http://a/b/c/g..", "http://h/x": "http://h/x", "mailto:x": "mailto:x",
+    }
+    cases = [(base, t, w) for t, w in want.items()] + [("http://a", "x.html", "http://a/x.html"), ("http://a?q", "x.html", "http://a/x.html"), ("nowhere", "x.html", None)]
+    frame = spark.createDataFrame(cases, "url string, target string, want string").withColumn("got", resolved(F.col("url"), F.col("target")))
+    assert [r for r in frame.collect() if r["got"] != r["want"]] == []
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    rows = [(1, "http://bad.com/x/one", link("index.html")), (2, "http://clean.org/x/two", link("index.html")), (3, "http://clean.org/x/three?id=1", link("?id=2")), (4, "http://other.net/d/four", link("../five")), (5, "http://clean.org/alias", link("http://bad.com/x/y/../index.html"))]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [Rule("bad.com", "/", "block")]).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block"}
