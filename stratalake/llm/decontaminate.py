@@ -80,7 +80,7 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Setting
     at = hashed.select("key", "doc_words", "all", F.posexplode_outer("all").alias("pos", "sh")).join(small(anchors), "sh")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("doc_words") - F.col("n")))
     windows = at.withColumn("start", start).select("key", "n", "start", F.slice("all", F.col("start") + 1, F.least(F.col("n"), F.col("doc_words")) - size + 1).alias("shingles"))
-    windows = windows.groupBy("key", "n", "start").agg(F.first("shingles").alias("shingles"))
+    windows = windows.distinct()
     # Equal windows of many documents are fingerprinted and verified once.
     kinds = windows.select("n", "shingles").distinct().withColumn("print", _fingerprint(F.col("shingles")))
     probes = kinds.select("n", "shingles", "print", F.explode_outer(_blocks(F.col("print"), settings.radius)).alias("b")).select("n", "shingles", "print", F.col("b.i").alias("i"), F.col("b.v").alias("v"))

@@ -119,6 +119,15 @@ def test_nearest(spark, shard):
     assert nearest(three, three.where("vec_id = 0"), 20).count() == 2
 
 
+def test_leak_beside_other_texts_of_its_key(spark):
+    """Texts under one key or the null key are judged each, also where their windows start at the same word."""
+    item = prose(31, 30)
+    other = [" ".join(item.split()[:6]) + " " + prose(40 + i, 24) for i in range(6)]
+    rows = [(key, t) for key in (None, 3) for t in [*other, item]]
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["item_id"], r["word_start"], r["similarity"]) for r in got) == [(False, 1, 0, 1.0), (True, 1, 0, 1.0)]
+
+
 def test_relative_targets(spark):
     """Targets are resolved against the page: equal relative names on two hosts are two pages."""
     from stratalake.llm.url_filter import resolved
