@@ -38,12 +38,14 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     """``dimension``: hash buckets of n-grams (a power of two). ``penalty``: cost in nats of a change of language between two words.
-    ``script_share``: least share of a language's letters for a script to be one of its own. ``smoothing``: added to every bucket's count."""
+    ``script_share``: least share of a language's letters for a script to be one of its own. ``smoothing``: added to every bucket's count.
+    ``most_languages``: what the driver takes, 128 KB of weights each; more labels than that are refused with an error."""
 
     dimension: int = 1 << 15
     penalty: float = 12.0
     script_share: float = 0.01
     smoothing: float = 0.5
+    most_languages: int = 1000
 
 
 @lru_cache(maxsize=1)
@@ -139,15 +141,24 @@ class Model:
 
 def fit(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", lang: str = "lang") -> Model:
     """Learns from all rows with a language; texts may be null. Without any such row no language is known."""
-    rows = _learn(docs.where(docs[lang].isNotNull()).select(docs[text].alias("text"), docs[lang].alias("lang")), settings).toArrow()
-    names, at, n = rows.column("lang").to_pylist(), rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
-    languages = sorted(set(names))
-    place = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((settings.dimension + N_SCRIPTS, len(languages)))
-    counts[at, [place[x] for x in names]] = n
-    grams, scripts = counts[: settings.dimension], counts[settings.dimension :]
-    weights = np.log((grams + settings.smoothing) / (grams.sum(0) + settings.smoothing * settings.dimension)).astype(np.float32)
-    return Model(languages, weights, scripts > settings.script_share * np.maximum(scripts.sum(0), 1), settings)
+    counted = _learn(docs.where(docs[lang].isNotNull()).select(docs[text].alias("text"), docs[lang].alias("lang")), settings)
+
+    def weigh(key: tuple, table: pa.Table) -> pa.Table:
+        counts = np.zeros(settings.dimension + N_SCRIPTS)
+        counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+        grams, scripts = counts[: settings.dimension], counts[settings.dimension :]
+        weights = np.log((grams + settings.smoothing) / (grams.sum() + settings.smoothing * settings.dimension)).astype(np.float32)
+        allowed = scripts > settings.script_share * max(scripts.sum(), 1)
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "weights": pa.array([weights.tobytes()], pa.binary()), "allowed": pa.array([allowed.tobytes()], pa.binary())})
+
+    rows = counted.groupBy("lang").applyInArrow(weigh, "lang string, weights binary, allowed binary").orderBy("lang").limit(settings.most_languages + 1).toArrow()
+    if rows.num_rows > settings.most_languages:
+        raise ValueError(f"more than {settings.most_languages} languages")
+    languages = rows.column("lang").to_pylist()
+    if not languages:
+        return Model([], np.zeros((settings.dimension, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), settings)
+    unpack = lambda name, kind: np.stack([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()], 1)
+    return Model(languages, np.ascontiguousarray(unpack("weights", np.float32)), np.ascontiguousarray(unpack("allowed", bool)), settings)
 
 
 def _viterbi(scores: np.ndarray, rows: np.ndarray, penalty: float) -> np.ndarray:
@@ -155,7 +166,7 @@ def _viterbi(scores: np.ndarray, rows: np.ndarray, penalty: float) -> np.ndarray
     lengths = np.diff(rows)
     n, kinds = len(scores), scores.shape[1]
     if n == 0 or kinds == 1:
-        return np.zeros(n, np.int8)
+        return np.zeros(n, np.int32)
     order = np.argsort(-lengths, kind="stable")
     order = order[: np.count_nonzero(lengths)]
     width = int(lengths[order[0]])
@@ -168,7 +179,7 @@ def _viterbi(scores: np.ndarray, rows: np.ndarray, penalty: float) -> np.ndarray
     stepped = np.empty_like(scores)
     stepped[place] = scores
     moved = np.zeros((n, kinds), bool)
-    source = np.zeros(n, np.int8)
+    source = np.zeros(n, np.int32)
     value = stepped[: alive[0]].copy()
     last = np.zeros((len(order), kinds), np.float32)
     for step in range(1, width):
@@ -182,7 +193,7 @@ def _viterbi(scores: np.ndarray, rows: np.ndarray, penalty: float) -> np.ndarray
         value = np.where(other, jump[:, None], value)
         value += stepped[a:b]
     last[: len(value)] = value
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int32)
     state = last.argmax(1)
     for step in range(width - 1, -1, -1):
         a, b, k = base[step], base[step + 1], alive[step]
@@ -196,8 +207,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", key: str = "d
     """Labels whole texts: ``key, lang_pred, score`` and with ``spans`` also ``spans array<struct<start, stop, lang>>`` in words.
 
     ``lang_pred`` is the language with most letters in the labelled spans (ties: the first by name), ``score`` its share of all labelled
-    letters. A null text, one without letters, one whose scripts no learned language uses, and any text under a model without languages
-    are `und` with score 0 and no spans; repeated rows are labelled each; an empty table gives no rows; other columns are not read.
+    letters. A text with letters, but only of scripts that no learned language uses, is one span of the language whose n-grams fit it best,
+    with score 0. A null text, one without letters, and any text under a model without languages are `und` with score 0 and no spans;
+    repeated rows and rows with a null key are labelled each; an empty table gives no rows; other columns are not read.
     A word without letters, or of a script that no language uses, belongs to the span around it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -206,7 +218,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", key: str = "d
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], object)
         kinds = len(own.languages)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", (32 << 20) // max(8, kinds)):  # scores of all words for all languages lie in memory
             n = batch.num_rows
             data, offsets = text_bytes(batch.column("text"))
             letters, ends, rows = words(LOWER[data], offsets)
@@ -220,7 +232,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", key: str = "d
                 if len(full):
                     for k in range(kinds):
                         table[full, k] = np.add.reduceat(own.weights[has.buckets, k], has.offsets[:-1][full])
-                may = own.allowed[has.script]
+                raw, may = table, own.allowed[has.script]
                 usable = (has.letters > 0) & may.any(1)
                 low = table.min(1, keepdims=True) - 30
                 table = np.where(may, table, low)
@@ -236,6 +248,13 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", key: str = "d
                 best = np.where(whole > 0, per.argmax(1), kinds)
                 share = per.max(1) / np.maximum(whole, 1)
                 runs = _runs(path, into, np.flatnonzero(live), rows, names) if spans else []
+                for i in np.flatnonzero(whole == 0).tolist():
+                    lettered = codes[rows[i] : rows[i + 1]]
+                    lettered = lettered[has.letters[lettered] > 0]
+                    if len(lettered):
+                        best[i] = raw[lettered].sum(0).argmax()
+                        if spans:
+                            runs[i] = [{"start": 0, "stop": int(rows[i + 1] - rows[i]), "lang": names[best[i]]}]
             out = [batch.column("key"), pa.array(names[best], pa.string()), pa.array(share, pa.float64())]
             fields = ["key", "lang_pred", "score"]
             if spans:
