@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +18,20 @@ from .shared import stash
 #: Hash of the token that ends a text; also the history of its first word.
 END = np.uint64(0x7F4A7C159E3779B9)
 _LOW40 = np.uint64((1 << 40) - 1)
-#: Weights of the bigram against the unigram from which each class of histories takes its own.
-GRID = np.array([0, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9, 0.97])
-CLASSES = 24
 _KEYS = 8 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``bits``: of the filter for each stored level. ``probes``: hash functions. ``region_bytes``: text for each region of the filter.
-    ``broadcast_bytes``: what the tables on a worker may hold; a larger corpus is scored in as many rounds of broadcast slices as it needs."""
+    """``bits``: of the filter for each stored level. ``probes``: hash functions. ``region_bytes``: text for each region of the counts.
+    ``broadcast_bytes``: most that the filter and the unigrams may hold together to be broadcast; every Python worker has a copy. Beyond it
+    they stay in regions, and the texts' n-grams are sent there. ``prior``: unigram pseudo-counts that smooth the bigrams of a history."""
 
     bits: int = 8
     probes: int = 4
     region_bytes: int = 8 << 20
-    broadcast_bytes: int = 768 << 20
+    broadcast_bytes: int = 256 << 20
+    prior: float = 5.0
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,6 +58,14 @@ def region_of(keys: np.ndarray, regions: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(regions) >> np.uint64(32)).astype(np.int64)
 
 
+def by_region(keys: np.ndarray, regions: int) -> Iterator[tuple[int, slice]]:
+    """The regions that sorted keys lie in, with their places."""
+    own = region_of(keys, regions)
+    cut = np.concatenate([np.flatnonzero(np.diff(own, prepend=-1)), [len(own)]]) if len(own) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(own[a]), slice(a, b)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """Counts on a scale of powers of two: 1 is 1, 2 and 3 are 2, 4 to 7 are 3."""
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
@@ -64,6 +73,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 def count_of(level: np.ndarray) -> np.ndarray:
     """The count that a level stands for."""
+    level = level.astype(np.float64)
     return np.where(level <= 1, level, 1.4 * np.exp2(level - 1))
 
 
@@ -125,11 +135,10 @@ class Unigrams:
     counts: np.ndarray
 
     def get(self, now: np.ndarray) -> np.ndarray:
-        coded = pa.array(now).dictionary_encode()
-        own = coded.dictionary.to_numpy(zero_copy_only=False)
+        own, code = _coded(now)
         at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
         found = np.where(self.keys[at] == own, self.counts[at], 0) if len(self.keys) else np.zeros(len(own), np.int64)
-        return found[coded.indices.to_numpy(zero_copy_only=False)]
+        return found[code]
 
 
 def _collect(docs: DataFrame, regions: int, settings: Settings) -> DataFrame:
@@ -139,22 +148,19 @@ def _collect(docs: DataFrame, regions: int, settings: Settings) -> DataFrame:
     in number with the text, so a region stays as it is; hot n-grams are one entry a slice.
     """
 
-    def emit(kind: int, keys: np.ndarray, regions: int) -> Iterator[tuple]:
+    def emit(kind: int, keys: np.ndarray) -> Iterator[tuple]:
         keys, n = np.unique(keys, return_counts=True)
-        cut = np.searchsorted(region_of(keys, regions), np.arange(regions + 1))
-        for r in range(regions):
-            own = slice(cut[r], cut[r + 1])
-            if cut[r] < cut[r + 1]:
-                if kind:
-                    low = np.ascontiguousarray(keys[own] & _LOW40).view(np.uint8).reshape(-1, 8)[:, :5]
-                    yield kind, r, np.ascontiguousarray(low).tobytes(), n[own].astype("<u4").tobytes()
-                else:
-                    yield kind, r, keys[own].tobytes(), n[own].astype("<u4").tobytes()
+        for region, own in by_region(keys, regions):
+            if kind:
+                low = np.ascontiguousarray(keys[own] & _LOW40).view(np.uint8).reshape(-1, 8)[:, :5]
+                yield kind, region, np.ascontiguousarray(low).tobytes(), n[own].astype("<u4").tobytes()
+            else:
+                yield kind, region, keys[own].tobytes(), n[own].astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", _KEYS):
             now, before, _ = tokens(batch.column("text"))
-            rows = [*emit(0, now, regions), *emit(1, pair_keys(before, now), regions)]
+            rows = [*emit(0, now), *emit(1, pair_keys(before, now))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "region", "keys", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -178,188 +184,148 @@ def _collect(docs: DataFrame, regions: int, settings: Settings) -> DataFrame:
     return docs.mapInArrow(run, "kind int, region int, keys binary, counts binary").groupBy("kind", "region").applyInArrow(add, "kind int, region int, keys binary, counts binary, n long, v long")
 
 
-def _terms(own: _Plain, uni: Unigrams, filt: Filter, now: np.ndarray, before: np.ndarray, less: int = 0) -> tuple[np.ndarray, ...]:
-    """Count, base probability, bigram share and class of history of every token; ``less``: how often the token's own text counts in."""
-    c = uni.get(now)
-    base = (np.maximum(c - less, 0) + 1.0) / (own.train_tokens + 1 * (own.distinct + 1))
-    h = np.maximum(uni.get(before) - less, 0)
-    both = np.minimum(np.maximum(count_of(filt.level(pair_keys(before, now))) - less, 0), np.minimum(h, np.maximum(c - less, 0)))
-    share = both / np.maximum(h, 1)
-    return c, base, share, np.where(h > 0, np.minimum(np.floor(np.log2(np.maximum(h, 1))) + 1, CLASSES - 1), 0).astype(np.int64)
-
-
-def _slices(rows: pa.Table, regions: int, settings: Settings) -> list[tuple[int, int]]:
-    """Ranges of regions whose filters fit the bound together."""
-    size = np.zeros(regions, np.int64)
-    kind, region = rows.column("kind").to_numpy(), rows.column("region").to_numpy()
-    own = kind == 1
-    size[region[own]] = rows.column("size").to_numpy()[own]
-    out, start, held = [], 0, 0
-    for r in range(regions):
-        if held and held + size[r] > settings.broadcast_bytes // 2:
-            out.append((start, r))
-            start, held = r, 0
-        held += size[r]
-    return [*out, (start, regions)]
-
-
 @dataclass
 class Fitted:
-    """A model whose counts lie in the shared folder as ``counts``; ``ranges`` are the slices of the filter that a worker holds at once."""
+    """A model whose counts lie in the shared folder as ``counts``, by kind and region."""
 
     counts: DataFrame
     regions: int
-    ranges: list[tuple[int, int]]
     train_tokens: int
     distinct: int
-    mix: np.ndarray
+    bytes: int
     settings: Settings
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text") -> Fitted:
-    """Counts all n-grams of all rows, and gives each class of histories the bigram weight that predicts the rows best when a token's own occurrence is left out."""
+    """Counts all n-grams of all rows, in one pass."""
     docs = docs.select(docs[text].alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     regions = max(16, -(-size // settings.region_bytes))
     counts = stash(_collect(docs, regions, settings))
-    rows = counts.select("kind", "region", "n", "v", F.octet_length("keys").cast("long").alias("size")).toArrow()
-    own = rows.column("kind").to_numpy() == 0
-    n, v = int(rows.column("n").to_numpy()[own].sum()), int(rows.column("v").to_numpy()[own].sum())
-    model = Fitted(counts, regions, _slices(rows, regions, settings), n, v, np.zeros(CLASSES), settings)
-
-    def weigh(now: np.ndarray, before: np.ndarray, into: np.ndarray, uni: Unigrams, filt: Filter, span: tuple[int, int]) -> list[np.ndarray]:
-        c, base, share, kind = _terms(model_, uni, filt, now, before, 1)
-        mine = _mine(now, before, span, model_.regions)
-        table = np.stack([np.bincount(kind[mine], np.log10(w * share[mine] + (1 - w) * base[mine]), minlength=CLASSES) for w in GRID])
-        return [table.reshape(1, -1).astype(np.float64)]
-
-    model_ = _plain(model)
-    if n:
-        sums = np.zeros((len(GRID), CLASSES))
-        for frame in _each_slice(docs.withColumn("key", F.lit(0)), model, weigh, "t array<double>", whole=False):
-            for row in frame.select(F.posexplode("t").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
-                sums.flat[row["i"]] += row["x"]
-        model.mix = GRID[sums.argmax(0)]
-    return model
+    held = F.sum(F.octet_length("keys").cast("long") + F.octet_length("counts").cast("long"))
+    n, v, held = counts.agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.sum(F.when(F.col("kind") == 0, F.col("v"))), held).first()
+    return Fitted(counts, regions, n or 0, v or 0, held or 0, settings)
 
 
-@dataclass
-class _Plain:
-    """What workers need besides the counts."""
+def _value(model: tuple[int, int, float], c: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Base and smoothed probability of every token, from its count, that of its history, and the stored level of the two together."""
+    train_tokens, distinct, prior = model
+    base = (c + 1.0) / (train_tokens + 1 * (distinct + 1))
+    both = np.minimum(count_of(level), np.minimum(h, c))
+    return base, (both + prior * base) / (h + prior)
 
-    train_tokens: int
-    distinct: int
-    regions: int
-    mix: np.ndarray
-    probes: int
 
+def _rows(model: tuple[int, int, float], into: np.ndarray, c: np.ndarray, h: np.ndarray, level: np.ndarray) -> list[pa.Array]:
+    """The columns of every text of a slice."""
+    base, value = _value(model, c, h, level)
+    at = into[:-1]
+    add = lambda x, kind: np.add.reduceat(x, at, dtype=kind) if len(at) else np.zeros(0, kind)
+    return [*map(pa.array, (np.diff(into), add(c > 0, np.int64), np.full(len(at), model[0]), add(np.log10(base), np.float64), add(np.log10(value), np.float64)))]
 
-def _plain(model: Fitted) -> _Plain:
-    return _Plain(model.train_tokens, model.distinct, model.regions, model.mix, model.settings.probes)
 
+_NAMES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+_TYPES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-def _mine(now: np.ndarray, before: np.ndarray, span: tuple[int, int], regions: int) -> np.ndarray:
-    region = region_of(pair_keys(before, now), regions)
-    return (region >= span[0]) & (region < span[1])
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the code of each."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
 
-def _unigrams(rows: pa.Table) -> Unigrams:
-    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64).astype(np.uint32 if len(keys) else np.int64)
-    order = np.argsort(keys, kind="stable")
-    return Unigrams(keys[order], counts[order].astype(np.int64) if counts.max(initial=0) >= 2**31 else counts[order].astype(np.int32))
 
+def score(docs: DataFrame, model: Fitted, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, n_tokens, n_known, train_tokens, base_score, score`` of whole texts, all logarithms of base 10.
 
-def _each_slice(docs: DataFrame, model: Fitted, make, schema: str, whole: bool) -> Iterator[DataFrame]:
-    """For each slice of the filter, ``make`` over all texts: arrays with a row a text (``whole``) or one row for all texts of a slice of bytes.
+    The base is exact: (c + 1) / (N + 1 * (V + 1)) a token. The score is that of the bigrams: (c(h w) + prior * base) / (c(h) + prior), where
+    the history's count c(h) is exact and c(h w) is read from the filter by probing levels until one is absent, at most c(h) and c(w). A null
+    or empty text has one token, the end; repeated rows and rows with a null key are scored each; an empty table gives no rows; a model of no
+    texts gives every token the probability 1 of its one unseen kind; other columns are not read.
 
-    Unigrams within half of the bound are broadcast with the slice. Beyond it texts are dealt into blocks, and each block gets the counts
-    of its own words by a join.
+    Counts within a bound are broadcast, and one pass scores all texts. Beyond it, texts are dealt in slices, the distinct n-grams of a slice go
+    to the regions that hold their counts, and the answers come back to the slice; both ways give the same rows.
     """
-    sc, bound = docs.sparkSession.sparkContext, model.settings.broadcast_bytes // 2
-    uni = model.counts.where("kind = 0").select("keys", "counts")
-    small = model.distinct * 12 <= bound
-    held = sc.broadcast(_unigrams(uni.toArrow())) if small else None
-    names = [x.split()[0] for x in schema.split(", ")]
-    key_kind = docs.schema["key"].dataType.simpleString()
-
-    def produce(batch: pa.RecordBatch, own: Unigrams, filt: Filter, span: tuple[int, int]) -> pa.RecordBatch:
-        columns = make(*tokens(batch.column("text")), own, filt, span)
-        made = [pa.array(list(x) if x.ndim > 1 else x) for x in columns]
-        return pa.RecordBatch.from_arrays([batch.column("key"), *made] if whole else made, ["key", *names] if whole else names)
-
-    out_schema = f"key {key_kind}, {schema}" if whole else schema
-    for span in model.ranges:
-        rows = model.counts.where((F.col("kind") == 1) & F.col("region").between(span[0], span[1] - 1)).select("region", "keys").toArrow()
-        filt = sc.broadcast(Filter(model.regions, model.settings.probes, dict(zip(rows.column("region").to_pylist(), rows.column("keys").to_pylist(), strict=True))))
-        del rows
-
-        def run(batches: Iterator[pa.RecordBatch], filt=filt, span=span) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text", 4 << 20):
-                yield produce(batch, held.value, filt.value, span)
-
-        if small:
-            yield docs.select("key", "text").mapInArrow(run, out_schema)
-            continue
-
-        def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text"):
-                now, _, into = tokens(batch.column("text"))
-                block = np.repeat(batch.column("block").to_numpy(), np.diff(into))
-                both = np.unique(np.stack([block.astype(np.uint64), now], 1), axis=0)
-                end = np.unique(block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(both[:, 0], end).astype(np.int64)), pa.array(np.append(both[:, 1], np.full(len(end), END)).astype(np.uint64).view(np.int64))], ["block", "k"])
-
-        def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["k", "c"])
-
-        blocks = max(1, model.regions // 2)
-        dealt = docs.select("key", "text", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).alias("block"))
-        need = dealt.mapInArrow(words_of, "block long, k long").distinct()
-        got = need.join(uni.mapInArrow(open_, "k long, c long"), "k").select("block", "k", "c")
-        yield dealt.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_by_block(produce, filt, span), out_schema)
-
-
-def _by_block(produce, filt, span: tuple[int, int]):
-    """Scores a block of texts with the counts of its own words."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("k").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        own = Unigrams(keys[order], right.column("c").to_numpy()[order])
-        made = [produce(b, own, filt.value, span) for b in pieces(iter(left.combine_chunks().to_batches()), "text")]
-        return pa.Table.from_batches(made) if made else left.slice(0, 0)
-
-    return run
+    docs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    own = (model.train_tokens, model.distinct, model.settings.prior)
+    out = _with_broadcast(docs, model, own) if model.bytes <= model.settings.broadcast_bytes else _with_regions(docs, model, own)
+    return out.withColumnRenamed("key", key)
 
 
-def score(docs: DataFrame, model: Fitted, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, n_tokens, n_known, train_tokens, base_score, score`` of whole texts, all logarithms of base 10.
+def _with_broadcast(docs: DataFrame, model: Fitted, own: tuple[int, int, float]) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
+    uni = model.counts.where("kind = 0").select("keys", "counts").toArrow()
+    keys = np.frombuffer(b"".join(uni.column("keys").to_pylist()), np.uint64)
+    counts = np.frombuffer(b"".join(uni.column("counts").to_pylist()), np.int64)
+    order = np.argsort(keys, kind="stable")
+    bits = model.counts.where("kind = 1").select("region", "keys").toArrow()
+    held = sc.broadcast((Unigrams(keys[order], counts[order]), Filter(model.regions, model.settings.probes, dict(zip(bits.column("region").to_pylist(), bits.column("keys").to_pylist(), strict=True)))))
+    del uni, bits, keys, counts
 
-    The base is exact: (c + 1) / (N + 1 * (V + 1)) a token. The score mixes it with the bigram's share of its history's count, read from
-    the filter; a class of histories weighs it as `fit` found. A null or empty text has one token, the end; repeated rows are scored each;
-    an empty table gives no rows; a model of no texts gives every token the probability 1 of its one unseen kind; other columns are not read.
-    """
-    docs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    own = _plain(model)
-
-    def make(now: np.ndarray, before: np.ndarray, into: np.ndarray, uni: Unigrams, filt: Filter, span: tuple[int, int]) -> list[np.ndarray]:
-        c, base, share, kind = _terms(own, uni, filt, now, before)
-        w = own.mix[kind]
-        value = np.where(_mine(now, before, span, own.regions), np.log10(w * share + (1 - w) * base), 0.0)
-        at = into[:-1]
-        return [np.diff(into), np.add.reduceat(c > 0, at, dtype=np.int64), np.full(len(at), own.train_tokens), np.add.reduceat(np.log10(base), at), np.add.reduceat(value, at)]
-
-    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    parts = list(_each_slice(docs, model, make, "n_tokens long, n_known long, train_tokens long, base_score double, score double", whole=True))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", key)
-    out = stash(parts[0])
-    for part in parts[1:]:
-        out = out.unionByName(stash(part))
-    # Rows of one key, size and base share their score or are told apart by it in no slice; sums over slices are even among them.
-    each = out.groupBy("key", *names[:4]).agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("m"))
-    each = each.withColumn("m", (F.col("m") / len(parts)).cast("int")).select("key", *names[:4], (F.col("s") / F.col("m")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("m"))))
-    return each.select(F.col("key").alias(key), *names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uni, filt = held.value
+        for batch in pieces(batches, "text", 4 << 20):
+            now, before, into = tokens(batch.column("text"))
+            # Each distinct token is looked up once; histories are tokens too.
+            kinds, code = _coded(now)
+            c = uni.get(kinds)[code]
+            h = np.empty_like(c)
+            h[1:] = c[:-1]
+            h[into[:-1]] = uni.get(np.array([END], np.uint64))[0]
+            pairs, place = _coded(pair_keys(before, now))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *_rows(own, into, c, h, filt.level(pairs)[place])], ["key", *_NAMES])
+
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, {_TYPES}")
+
+
+def _with_regions(docs: DataFrame, model: Fitted, own: tuple[int, int, float]) -> DataFrame:
+    regions, probes, kind = model.regions, model.settings.probes, docs.schema["key"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 4 << 20):
+            name = uuid.uuid4().bytes
+            yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.binary()), batch.column("key"), batch.column("text")], ["slice", "key", "text"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("slice").dictionary_encode()
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                mine = batch.filter(pa.compute.equal(names.indices, i))
+                now, before, _ = tokens(mine.column("text"))
+                rows = []
+                for k, keys in ((0, np.unique(np.append(now, END))), (1, np.unique(pair_keys(before, now)))):
+                    rows += [(k, region, name, keys[place].tobytes()) for region, place in by_region(keys, regions)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "region", "slice", "asked"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        k = left.column("kind")[0].as_py() if left.num_rows else 0
+        raw = left.column("asked").to_pylist()
+        keys = np.frombuffer(b"".join(raw), np.uint64)
+        held = right.column("keys").to_pylist()
+        if not held:
+            found = np.zeros(len(keys), np.int64)
+        elif k:
+            found = Filter(1, probes, {0: held[0]}).level(keys).astype(np.int64)
+        else:
+            have, counts = np.frombuffer(held[0], np.uint64), np.frombuffer(right.column("counts")[0].as_py(), np.int64)
+            found = Unigrams(have, counts).get(keys)
+        cuts = np.cumsum([0, *(len(x) // 8 for x in raw)]).tolist()
+        return pa.table({"slice": left.column("slice"), "kind": left.column("kind"), "asked": left.column("asked"), "found": pa.array([found[a:b].astype(np.int64).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = []
+        for k in (0, 1):
+            part = right.filter(pa.compute.equal(right.column("kind"), k))
+            keys, found = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("asked", np.uint64), ("found", np.int64)))
+            order = np.argsort(keys, kind="stable")
+            got.append(Unigrams(keys[order], found[order]))
+        out = []
+        for batch in left.combine_chunks().to_batches():
+            now, before, into = tokens(batch.column("text"))
+            out.append(pa.RecordBatch.from_arrays([batch.column("key"), *_rows(own, into, got[0].get(now), got[0].get(before), got[1].get(pair_keys(before, now)))], ["key", *_NAMES]))
+        return pa.Table.from_batches(out)
+
+    # Names of slices are random, so they are written once and read from there.
+    dealt = stash(docs.mapInArrow(deal, f"slice binary, key {kind}, text string"))
+    asked = dealt.select("slice", "text").mapInArrow(ask, "kind int, region int, slice binary, asked binary")
+    # A slice's rows may have come apart in the table's files, so a key may be asked for twice; a lookup takes either answer.
+    answered = asked.groupBy("kind", "region").cogroup(model.counts.groupBy("kind", "region")).applyInArrow(answer, "slice binary, kind int, asked binary, found binary")
+    return dealt.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(finish, f"key {kind}, {_TYPES}")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .lm_score import Filter, region_of
+from .lm_score import Filter, by_region
 from .ragged import mix, pieces, text_bytes, words
 from .shared import stash
 from .shingles import rolling, word_hashes
@@ -83,8 +83,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _packed(keys: np.ndarray, regions: int, names: list[str]) -> pa.RecordBatch:
     """Distinct keys by region, with whether each came more than once."""
     keys, n = np.unique(keys, return_counts=True)
-    cut = np.searchsorted(region_of(keys, regions), np.arange(regions + 1))
-    rows = [(r, keys[a:b].tobytes(), np.minimum(n[a:b], 2).astype(np.uint8).tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+    rows = [(region, keys[own].tobytes(), np.minimum(n[own], 2).astype(np.uint8).tobytes()) for region, own in by_region(keys, regions)]
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], names)
 
 
