@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,57 +21,130 @@ _WHOLE = 1 << 12
 
 @dataclass(frozen=True)
 class Settings:
-    """``size``, ``threshold``: words of a shingle and least Jaccard similarity. ``trees``, ``depth``: the forest and its longest prefixes.
-    ``recall``: of pairs right at the threshold. ``block``: texts of a large group that one task compares with as many others."""
+    """``size``, ``threshold``: words of a shingle and least Jaccard similarity. ``trees``: tries of the forest; ``depth``, ``shortest``: hashes of
+    their longest and shortest prefixes. ``recall``: of pairs right at the threshold. ``crowd``: texts under a prefix from which on it is
+    shortened only where the recall needs it. ``block``, ``block_bytes``: most texts, and most bytes of shingles, that one task compares with
+    as many others. ``broadcast_rows``: most texts whose digests are broadcast (32 bytes each); more are joined by a shuffle."""
 
     size: int = 5
     threshold: float = 0.8
     trees: int = 16
-    depth: int = 6
+    depth: int = 5
+    shortest: int = 3
     recall: float = 0.999
+    crowd: int = 64
     block: int = 2048
+    block_bytes: int = 32 << 20
+    broadcast_rows: int = 1_000_000
 
+    def width(self, depth: int) -> int:
+        """Bytes of a prefix: 8 for the shortest, 4 for each further hash."""
+        return 8 + 4 * (depth - self.shortest)
 
-def recall_at(similarity: float, depth: int, trees: int) -> float:
-    """Chance that two sets share a prefix of ``depth`` hashes in some tree."""
-    return 1 - (1 - similarity**depth) ** trees
 
+def missed(similarity: float, depths: np.ndarray) -> np.ndarray:
+    """Chance that two sets share none of the prefixes that a text is matched by, from their depths by tree."""
+    return np.prod(1 - similarity ** np.asarray(depths, float), axis=-1)
 
-def matched_depth(settings: Settings) -> int:
-    """The longest prefix that reaches the recall for a pair at the threshold, found by shortening the full one."""
-    depth = settings.depth
-    while depth > 1 and recall_at(settings.threshold, depth, settings.trees) < settings.recall:
-        depth -= 1
-    return depth
 
+def matched_depths(sizes: np.ndarray, settings: Settings) -> np.ndarray:
+    """The depth by which each text is matched in each tree: prefixes start at full length and lose a hash, one tree after another, until the
+    recall of a pair at the threshold is reached.
 
-def labels(column: pa.Array, settings: Settings, depth: int) -> np.ndarray:
-    """The path of every text through every trie to ``depth``, as one number a tree: MinHash values, then a hash of the prefix. Texts without words have row -1 all through."""
+    ``sizes[text, tree, i]`` are the texts under its prefix of ``shortest + i`` hashes, 0 where they are no crowd. First the prefixes are
+    shortened that don't become crowded, level by level in order of the trees; then, where the recall needs it, crowded ones, small crowds first.
+    The order heeds crowds only, not whether a prefix has a match, so the recall holds for every pair.
+    """
+    n, trees, _ = sizes.shape
+    levels = np.arange(settings.depth - 1, settings.shortest - 1, -1)
+    # One step takes one tree to one level.
+    size = np.concatenate([sizes[:, :, d - settings.shortest] for d in levels], 1).astype(np.int64)
+    level = np.repeat(np.arange(len(levels)), trees)
+    tree = np.tile(np.arange(trees), len(levels))
+    rank = np.lexsort([np.broadcast_to(tree, size.shape), size, np.broadcast_to(level, size.shape), size > 0], axis=1)
+    logs = {d: np.log(1 - settings.threshold**d) for d in range(settings.shortest, settings.depth + 1)}
+    gain = np.concatenate([np.full(trees, logs[d + 1] - logs[d]) for d in levels]) if len(levels) else np.zeros(0)
+    reached = -trees * logs[settings.depth] + np.cumsum(gain[rank], 1) - gain[rank]
+    taken = reached < -np.log(1 - settings.recall) - 1e-12
+    depths = np.full((n, trees), settings.depth)
+    row = np.repeat(np.arange(n), taken.sum(1))
+    np.subtract.at(depths, (row, tree[rank[taken]]), 1)
+    return depths
+
+
+def signatures(column: pa.Array, settings: Settings) -> pa.Array:
+    """The path of every text through all tries: MinHash values, hashed so that equal prefixes of a path are equal bytes. Null for texts without words."""
     sets, rows = shingles(column, settings.size)
     full = np.flatnonzero(np.diff(rows))
-    out = np.full((len(rows) - 1, settings.trees), -1, np.int64)
-    if not len(full):
-        return out
+    wide = settings.width(settings.depth)
+    out = np.zeros((len(full), settings.trees, wide), np.uint8)
     rng = np.random.default_rng(97)
     for tree in range(settings.trees):
         path = np.full(len(full), tree, np.uint64)
-        for level in range(settings.depth):
+        for level in range(1, settings.depth + 1):
             a, b = rng.integers(1, 2**63, 2, dtype=np.uint64)
-            if level < depth:
-                low = np.minimum.reduceat((sets ^ b) * (a | np.uint64(1)), rows[:-1][full])
-                path = mix(path * np.uint64(0x9FB21C651E98DF25) + low)
-        out[full, tree] = (path >> np.uint64(1)).astype(np.int64)
-    return out
-
-
-def _forest(texts: DataFrame, settings: Settings, depth: int) -> DataFrame:
+            if len(full):
+                path = mix(path * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat((sets ^ b) * (a | np.uint64(1)), rows[:-1][full]))
+            if level >= settings.shortest:
+                piece = path.astype(">u8").view(np.uint8).reshape(-1, 8)
+                end = settings.width(level)
+                out[:, tree, end - (8 if level == settings.shortest else 4) : end] = piece if level == settings.shortest else piece[:, :4]
+    made = np.full(len(rows) - 1, None, object)
+    made[full] = [x.tobytes() for x in out.reshape(len(full), settings.trees * wide)]
+    return pa.array(made, pa.binary())
+
+
+def _signed(texts: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            made = labels(batch.column("text"), settings, depth)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), settings.trees).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("id"), lists], ["digest", "id", "paths"])
+            size = pa.compute.binary_length(batch.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("id"), size, signatures(batch.column("text"), settings)], ["digest", "id", "bytes", "paths"])
 
-    return texts.mapInArrow(run, f"digest string, id {texts.schema['id'].dataType.simpleString()}, paths array<long>")
+    return texts.mapInArrow(run, f"digest string, id {texts.schema['id'].dataType.simpleString()}, bytes long, paths binary")
+
+
+def _candidates(texts: DataFrame, settings: Settings) -> DataFrame:
+    """Edges ``a, b`` from each text to the first under each prefix that it is matched by, or that another text is.
+
+    A text whose prefixes are no crowds is matched at the same depths as all such texts. The others stand under their prefixes of all depths, so
+    that whoever shortens a prefix to one of them finds them there.
+    """
+    wide, longest, shortest = settings.width(settings.depth), settings.depth, settings.shortest
+    tree_of = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(settings.trees - 1)), lambda t: F.substring("paths", t * wide + 1, F.lit(wide)))).alias("tree", "path")
+    legs = texts.where("paths is not null").select("digest", tree_of)
+    prefix = lambda d: F.substring("path", 1, settings.width(d))
+    plain = matched_depths(np.zeros((1, settings.trees, longest - shortest), np.int64), settings)[0].tolist()
+    own = F.substring("path", F.lit(1), F.element_at(F.array(*[F.lit(settings.width(d)) for d in plain]), F.col("tree") + 1))
+    # Crowds under the shortest prefix hold those under longer ones.
+    crowds, inside = [], legs
+    for d in range(shortest, longest):
+        crowd = stash(inside.groupBy("tree", prefix(d).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > settings.crowd))
+        inside = stash(legs.withColumn("prefix", prefix(d)).join(crowd, ["tree", "prefix"]).select("digest", "tree", "path", F.lit(d).alias("depth"), "n"))
+        crowds.append(inside)
+    held = crowds[0]
+    for more in crowds[1:]:
+        held = held.unionByName(more)
+    by_text = held.groupBy("digest").agg(F.collect_list(F.struct("tree", "depth", "n")).alias("crowds"))  # at most trees x depths entries
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("crowds")
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            tree, depth, n = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sizes = np.zeros((batch.num_rows, settings.trees, longest - shortest), np.int64)
+            sizes[row, tree, depth - shortest] = n
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(matched_depths(sizes, settings).tolist(), pa.list_(pa.int32()))], ["digest", "depths"])
+
+    chosen = stash(by_text.mapInArrow(choose, "digest string, depths array<int>"))
+    few = chosen.count()
+    near = F.broadcast(chosen) if few <= settings.broadcast_rows // 4 else chosen
+    nodes = (legs.join(near.select("digest"), "digest", "left_anti") if few else legs).select("digest", "tree", own.alias("prefix"), F.lit(True).alias("matched"))
+    if few:
+        each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(d).alias("prefix")) for d in range(shortest, longest + 1)])).alias("x")
+        moved = legs.join(near, "digest").select("digest", "tree", (F.element_at("depths", F.col("tree") + 1)).alias("own"), each)
+        nodes = nodes.unionByName(moved.select("digest", "tree", F.col("x.prefix").alias("prefix"), (F.col("x.depth") == F.col("own")).alias("matched")))
+    heads = nodes.groupBy("tree", "prefix").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n"), F.max("matched").alias("any")).where("n > 1 and any").select("tree", "prefix", "head")
+    return nodes.join(heads, ["tree", "prefix"]).where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
 
 
 def _sets(texts: DataFrame, settings: Settings) -> DataFrame:
@@ -156,9 +230,10 @@ def similarity_classes(docs: DataFrame, settings: Settings = Settings(), *, text
     texts without words are linked to their copies only; a null key does not name a class while another key does; repeated rows are copies;
     an empty table gives no rows; other columns are not read.
 
-    Copies fold into one text first. Texts that share a prefix of the matched depth in some trie of the forest point at the smallest of them,
-    and the connected parts of these pointers are the candidate groups. A group is compared exactly, all its pairs once, in blocks of bounded
-    size that lie in tasks of their own; pairs are counted there and never leave the task, only counts and a spanning forest do.
+    Copies fold into one text first. Every text has a path through each trie of the forest; it is matched by prefixes of its paths, which start at
+    full length and are shortened, crowded ones last, until a pair at the threshold is found with the target recall. Texts under a prefix point at
+    the first of them, and the connected parts of these pointers are the candidate groups. A group is compared exactly, all its pairs once, in blocks of
+    bounded size that lie in tasks of their own; pairs are counted there and never leave the task, only counts and a spanning forest do.
     """
     given = _given(docs, text, key)
     own = _classes(given, settings)
@@ -181,14 +256,11 @@ def _given(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def _classes(given: DataFrame, settings: Settings) -> DataFrame:
     """``component, digest, copies, first, links`` of every distinct text."""
-    depth = matched_depth(settings)
     filled = given.where("digest is not null")
-    texts = stash(_forest(filled, settings, depth).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.any_value("paths").alias("paths")))
-    nodes = texts.select("digest", F.posexplode("paths").alias("tree", "path")).where("path >= 0")
-    heads = nodes.groupBy("tree", "path").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "path", "head")
-    edges = nodes.join(heads, ["tree", "path"]).where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b"))
+    texts = stash(_signed(filled, settings).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.any_value("bytes").alias("bytes"), F.any_value("paths").alias("paths")))
+    edges = _candidates(texts, settings)
     parts = connected_components(edges)
-    parts = stash(parts.join(texts, parts.node == texts.digest).select(F.col("component").alias("part"), "digest", "copies", "first"))
+    parts = stash(parts.join(texts, parts.node == texts.digest).select(F.col("component").alias("part"), "digest", "copies", "first", "bytes"))
     found = _verify(filled, parts, settings)
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
@@ -197,12 +269,15 @@ def _classes(given: DataFrame, settings: Settings) -> DataFrame:
 
 def _verify(filled: DataFrame, parts: DataFrame, settings: Settings) -> DataFrame:
     """``digest, links, root`` of texts with links, from all pairs within the candidate groups."""
-    block = settings.block
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    total = parts.count()
-    packs = max(1, -(-2 * total // block))
-    placed = parts.join(sizes, "part").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    one = filled.join(placed, "digest").where(F.col("id").eqNullSafe(F.col("first")))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    total, weight = parts.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    # A word of 5 bytes or so makes a shingle of 8: twice the bytes of a text bound those of its shingles, but for texts of tiny words.
+    heavy = settings.block_bytes // 2
+    packs = max(1, -(-2 * total // settings.block), -(-2 * (weight or 0) // heavy))
+    blocks = F.greatest(F.ceil(F.col("n") / settings.block), F.ceil(F.col("b") / heavy)).cast("int")
+    placed = stash(parts.join(sizes, "part").withColumn("blocks", F.least(blocks, F.col("n").cast("int"))).drop("b", "bytes"))
+    wanted = F.broadcast(placed) if total <= settings.broadcast_rows else placed
+    one = filled.join(wanted, "digest").where(F.col("id").eqNullSafe(F.col("first")))
     made = _sets(one, settings).join(placed.select(F.col("digest").alias("d"), "blocks"), F.col("digest") == F.col("d")).drop("d")
     made = made.withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("digest"), F.col("blocks"))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
