@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from stratalake.llm.fm_index import FMIndex
-from stratalake.llm.jaccard_join import Settings, matched_depth, recall_at, similarity_classes
+from stratalake.llm.jaccard_join import Settings, matched_depths, missed, similarity_classes
 from stratalake.llm.substring_dedup import Settings as Cut
 from stratalake.llm.substring_dedup import deduplicate
 
@@ -53,23 +53,64 @@ def crowd(n, seed=5):
     return [*rows, *[(n + i, " ".join(f"s{r.randrange(3000)}" for _ in range(80))) for i in range(20)]]
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_classes(spark, docs, texts, empty, block):
-    settings = Settings(block=block)
+@pytest.mark.parametrize(("block", "crowd_size"), [(2048, 64), (16, 3)])
+def test_classes(spark, docs, texts, empty, block, crowd_size):
+    settings = Settings(block=block, crowd=crowd_size)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similarity_classes(docs, settings).collect()}
     assert got == brute_classes(texts)
     if block == 16:
         rows = crowd(70)
         got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), settings).collect()}
         assert got == brute_classes(rows)
+        heavy = Settings(block_bytes=4096, broadcast_rows=0)
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), heavy).collect()}
+        assert got == brute_classes(rows)
     else:
         assert similarity_classes(empty, settings).count() == 0
 
 
-def test_depth_reaches_recall():
+def test_keys_of_classes(spark):
+    """Null and repeated keys: each row has its text's class, and a null key names none that has another."""
+    base = crowd(1)[0][1]
+    near = base.replace("b7 ", "c7 ", 1)
+    rows = [(None, base), (5, near), (5, "something else of other words"), (None, "alone here with no one near"), (5, base)]
+    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["n_copies"]) for r in got) == [(0, 0, 0, 1), (0, 5, 2, 2), (5, 5, 0, 1), (5, 5, 2, 1), (5, 5, 2, 2)]
+
+
+def test_depths_reach_recall():
+    """Prefixes are no shorter than the recall needs, and crowded ones are shortened last."""
     s = Settings()
-    d = matched_depth(s)
-    assert recall_at(s.threshold, d, s.trees) >= s.recall > recall_at(s.threshold, d + 1, s.trees)
+    rng = np.random.default_rng(6)
+    sizes = np.zeros((200, s.trees, s.depth - s.shortest), np.int64)
+    sizes[1:, :, 0] = rng.choice([0, 0, 100, 5000], (199, s.trees))
+    sizes[1:, :, 1] = np.where(rng.random((199, s.trees)) < 0.5, sizes[1:, :, 0] // 2, 0)
+    depths = matched_depths(sizes, s)
+    gone = missed(s.threshold, depths)
+    assert (gone <= 1 - s.recall + 1e-12).all() and depths.min() >= s.shortest and depths.max() <= s.depth
+    longer = depths.copy()
+    longer[np.arange(200), depths.argmin(1)] += 1
+    assert (missed(s.threshold, longer)[0] > 1 - s.recall).all()
+    crowded = np.take_along_axis(sizes, np.minimum(depths - s.shortest, 1)[:, :, None], 2)[:, :, 0] * (depths < s.depth)
+    free = (sizes[:, :, 0] == 0) & (depths > s.shortest)
+    assert not ((crowded > 0).any(1) & free.any(1)).any()
+
+
+def test_forest_finds_pairs_at_the_threshold(spark):
+    """Pairs right above the threshold, also where many texts share their prefixes: the recall of the whole join."""
+    r = random.Random(8)
+    rows, pairs = [], []
+    common = [f"c{i}" for i in range(120)]
+    for k in range(300):
+        words = [f"p{k}_{i}" for i in range(150)] if k % 2 else [*common[:100], *[f"q{k}_{i}" for i in range(50)]]
+        edited = words.copy()
+        for at in r.sample(range(8, 145, 8), 3):
+            edited[at] = f"x{k}_{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    got = {x["doc_id"]: x["class_id"] for x in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), Settings(crowd=8)).collect()}
+    want = brute_classes([x for x in rows if x[0] < 200])
+    assert all(want[2 * k][1] >= 1 for k in range(100))
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 298
 
 
 def brute_repeats(rows, size):

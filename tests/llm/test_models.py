@@ -31,7 +31,8 @@ def test_language(spark, docs, texts, empty):
     out = {r["doc_id"]: r for r in identify(mixed, model, spans=True).collect()}
     assert [(s["lang"], s["start"], s["stop"]) for s in out[1]["spans"]] == [("en", 0, 7), ("fr", 7, 14)] and 0.5 <= out[1]["score"] < 0.7
     assert [s["lang"] for s in out[2]["spans"]] == ["el", "en"]
-    assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 and out[i]["spans"] == [] for i in (3, 4, 5))
+    assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 and out[i]["spans"] == [] for i in (4, 5))
+    assert out[3]["lang_pred"] in model.languages and out[3]["score"] == 0 and [(x["start"], x["stop"]) for x in out[3]["spans"]] == [(0, 2)]
     got = {r["doc_id"]: r for r in identify(docs, model).collect()}
     assert len(got) == len(texts) and all(got[i]["lang_pred"] == "und" for i, t in texts if t is None or not any(c.isalpha() for c in t))
     nothing = fit(empty)
@@ -47,6 +48,65 @@ def test_viterbi_is_best_path():
         cost = lambda p, s=s: sum(s[i, k] for i, k in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
         best = max(cost(p) for p in np.ndindex(*[3] * n))
         assert math.isclose(cost(path), best, rel_tol=1e-5)
+    many = rng.normal(size=(50, 300)).astype(np.float32)
+    many[:, 250] += 50
+    assert (_viterbi(many, np.array([0, 20, 50]), 2.0) == 250).all()
+
+
+def plain_label(text, model):
+    """Language and share of letters by a Viterbi search word by word, over n-grams counted one by one."""
+    from stratalake.llm.language_id import _script_of
+    from stratalake.llm.ragged import mix
+
+    script, mask = _script_of(), model.settings.dimension - 1
+    words = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)):
+        letters = [ord(x) for x in w if script[ord(x)]]
+        if not letters:
+            continue
+        kinds = [int(script[x]) for x in letters]
+        padded, total = [0, *letters, 0], np.zeros(len(model.languages))
+        for i in range(len(padded)):
+            for n in (1, 2, 3):
+                g = padded[i : i + n]
+                if len(g) < n or (n == 1 and g == [0]):
+                    continue
+                h = g[0] * 0x9E3779B97F4A7C15 + (g[1] * 0xC2B2AE3D27D4EB4F + 1 if n > 1 else 0) + (g[2] * 0x165667B19E3779F9 + 1 if n > 2 else 0)
+                total += model.weights[int(mix(np.array([h % 2**64], np.uint64))[0]) & mask]
+        may = model.allowed[max(set(kinds), key=lambda k: (kinds.count(k), -k))]
+        if may.any():
+            words.append((len(letters), np.where(may, total, total.min() - 30)))
+    best = [(0.0, [])] * len(model.languages)
+    for i, (_, v) in enumerate(words):
+        top = max(range(len(best)), key=lambda k: best[k][0])
+        moved = [best[k] if not i or best[k][0] >= best[top][0] - model.settings.penalty else (best[top][0] - model.settings.penalty, best[top][1]) for k in range(len(best))]
+        best = [(c + v[k], [*path, k]) for k, (c, path) in enumerate(moved)]
+    path = max(best, key=lambda x: x[0])[1]
+    share = np.bincount(path, [n for n, _ in words], len(model.languages))
+    return model.languages[share.argmax()], share.max() / share.sum()
+
+
+def test_labels_against_brute_force(spark):
+    model = fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    r = random.Random(9)
+    pool = ["the", "thing", "être", "que", "mieux", "λόγος", "μέρα", "Thing!", "x9y", "42", "Привет", "unknown", "dans-le"]
+    rows = [(i, " ".join(r.choice(pool) for _ in range(r.randint(1, 30))) + " the") for i in range(60)]
+    got = {x["doc_id"]: x for x in identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        lang, share = plain_label(t, model)
+        assert (got[i]["lang_pred"], round(got[i]["score"], 9)) == (lang, round(share, 9)), t
+
+
+def test_many_languages(spark):
+    """More languages than a byte counts, and a bound that refuses instead of dropping some."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(98 + i % 7)} " * 6, f"l{i:03d}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from stratalake.llm.language_id import Settings
+
+    got = {x["doc_id"]: x["lang_pred"] for x in identify(frame, fit(frame, Settings(dimension=1 << 12))).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.9
+    with pytest.raises(ValueError, match="more than 10 languages"):
+        fit(frame, Settings(most_languages=10))
 
 
 def test_toxicity(spark, docs, texts, empty):
@@ -78,22 +138,51 @@ def brute(rows, train):
     return {i: (len(split(t)), sum(c[w] > 0 for w in split(t)), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(t))) for i, t in rows}
 
 
-@pytest.mark.parametrize("bound", [768 << 20, 600])
+def brute_scores(rows, train, prior):
+    """Bigram scores from exact counts, rounded to the levels of the filter."""
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
+    c, two = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if i in train:
+            w = split(t)
+            c.update(w)
+            two.update(zip([None, *w], w, strict=False))
+    n, v = sum(c.values()), len(c)
+
+    def one(h, w):
+        k = two[h, w]
+        kept = k if k < 2 else 1.4 * 2 ** math.floor(math.log2(k))
+        return math.log10((min(kept, c[h], c[w]) + prior * (c[w] + 1) / (n + v + 1)) / (c[h] + prior))
+
+    return [sum(one(h, x) for h, x in zip([None, *split(t)], split(t), strict=False)) for _, t in rows]
+
+
+@pytest.mark.parametrize("bound", [256 << 20, 0])
 def test_lm_scores(spark, docs, texts, empty, bound):
-    settings = lm_score.Settings(broadcast_bytes=bound, region_bytes=4096)
+    settings = lm_score.Settings(broadcast_bytes=bound, region_bytes=4096, bits=40)
     train = {i for i, _ in texts if i % 3}
     model = lm_score.fit(docs.where("doc_id % 3 <> 0"), settings)
-    assert (len(model.ranges) > 1) == (bound == 600)
     got = {r["doc_id"]: r for r in lm_score.score(docs, model).collect()}
     want = brute(texts, train)
     assert set(got) == set(want)
-    for i, (n, known, total, base) in want.items():
+    for (i, (n, known, total, base)), score in zip(want.items(), brute_scores(texts, train, settings.prior), strict=True):
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isfinite(r["score"]) and r["score"] <= 0
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-6)
     assert sum(got[i]["score"] for i in train) > sum(got[i]["base_score"] for i in train)
     assert lm_score.score(empty, model).count() == 0
 
 
+def test_lm_scores_of_repeated_keys(spark):
+    """Rows under one key or the null key are scored each, alike with counts broadcast and in regions."""
+    rows = [(k, t) for k in (1, 1, None, None, 2) for t in ("a b c d", "d c b a", "a b c d", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = []
+    for bound in (256 << 20, 0):
+        model = lm_score.fit(frame.where("doc_id = 2"), lm_score.Settings(broadcast_bytes=bound, region_bytes=8))
+        out.append(sorted((r["doc_id"] or 0, r["n_tokens"], round(r["score"], 9)) for r in lm_score.score(frame, model).collect()))
+    assert out[0] == out[1] and len(out[0]) == len(rows) and len({x[2] for x in out[0]}) == 3
+
+
 def test_filter_keeps_counts():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
