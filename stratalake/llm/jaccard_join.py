@@ -136,13 +136,11 @@ def _candidates(texts: DataFrame, settings: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(matched_depths(sizes, settings).tolist(), pa.list_(pa.int32()))], ["digest", "depths"])
 
     chosen = stash(by_text.mapInArrow(choose, "digest string, depths array<int>"))
-    few = chosen.count()
-    near = F.broadcast(chosen) if few <= settings.broadcast_rows // 4 else chosen
-    nodes = (legs.join(near.select("digest"), "digest", "left_anti") if few else legs).select("digest", "tree", own.alias("prefix"), F.lit(True).alias("matched"))
-    if few:
-        each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(d).alias("prefix")) for d in range(shortest, longest + 1)])).alias("x")
-        moved = legs.join(near, "digest").select("digest", "tree", (F.element_at("depths", F.col("tree") + 1)).alias("own"), each)
-        nodes = nodes.unionByName(moved.select("digest", "tree", F.col("x.prefix").alias("prefix"), (F.col("x.depth") == F.col("own")).alias("matched")))
+    near = F.broadcast(chosen) if chosen.count() <= settings.broadcast_rows // 4 else chosen
+    at = F.element_at("depths", F.col("tree") + 1)
+    all_ = F.array(*[F.struct(prefix(d).alias("prefix"), (at == d).alias("matched")) for d in range(shortest, longest + 1)])
+    stands = F.when(F.col("depths").isNull(), F.array(F.struct(own.alias("prefix"), F.lit(True).alias("matched")))).otherwise(all_)
+    nodes = legs.join(near, "digest", "left").select("digest", "tree", F.explode(stands).alias("x")).select("digest", "tree", "x.prefix", "x.matched")
     heads = nodes.groupBy("tree", "prefix").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n"), F.max("matched").alias("any")).where("n > 1 and any").select("tree", "prefix", "head")
     return nodes.join(heads, ["tree", "prefix"]).where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
 
