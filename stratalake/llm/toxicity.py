@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
     """Fits the chain in the order of ``categories``, 0/1 columns of ``labels``, on a bounded sample of labelled documents.
 
     Later models learn from out-of-fold probabilities of the earlier ones, so they see errors as they will meet them. Labels with a null key
-    or a null category are left out, of repeated keys the largest label counts; labels without a document, and null texts, teach nothing.
+    or a null category are left out, of repeated keys the largest label counts; of several texts under one key the one of the least hash is
+    learned from, so the driver gets at most ``sample`` sets of words. Labels without a document, and null texts, teach nothing.
     """
     marks = labels.select(labels[key].alias("key"), *[labels[c].cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
     marks = marks.groupBy("key").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
@@ -129,12 +130,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
         for batch in pieces(batches, "text"):
             own, offsets = word_sets(batch.column("text"))
             made = pa.array([own[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([made, batch.column("ys")], ["words", "ys"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hash"), made, batch.column("ys")], ["key", "hash", "words", "ys"])
 
     # The sample is bounded by its parameter, so broadcasting its keys and labels is too.
     learned = docs.select(docs[key].alias("key"), docs[text].alias("text")).where("text is not null").join(F.broadcast(chosen), "key")
     ys = F.array(*[f"y{i}" for i in range(len(categories))]).alias("ys")
-    table = learned.select("text", ys).mapInArrow(run, "words binary, ys array<int>").toArrow()
+    kind = docs.schema[key].dataType.simpleString()
+    sets = learned.select("key", F.xxhash64("text").alias("hash"), "text", ys).mapInArrow(run, f"key {kind}, hash long, words binary, ys array<int>")
+    table = sets.groupBy("key").agg(F.min_by(F.struct("words", "ys"), "hash").alias("x")).select("x.words", "x.ys").toArrow()
     parts = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
     y = np.array(table.column("ys").to_pylist(), np.int64).reshape(len(parts), len(categories))
     order = sorted(range(len(parts)), key=lambda i: (parts[i].tobytes(), y[i].tolist()))
