@@ -111,10 +111,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Setti
     if not sizes:
         return spark.createDataFrame([], schema)
     width, total, largest = sizes[0]["d"], sizes[0]["n"], sizes[0]["norm"]
+    largest = largest if largest < float("inf") else 0.0  # norms beyond a double: the pivots are seen without the further coordinate
     own = own.where(F.size("v") == width).dropDuplicates(["id", "v"])
     asked = whole(queries).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine & (F.size("v") == width)).dropDuplicates(["id", "v"])
     # The sample of pivots is bounded by its parameter.
     sample = np.array([r["v"] for r in own.orderBy(F.xxhash64("id"), "id", "v").limit(2 * settings.pivots).collect()], np.float64)
+    sample = sample.reshape(-1, width)
     _, first = np.unique(sample, axis=0, return_index=True)
     sample = sample[np.sort(first)][: settings.pivots]
     pivots = np.column_stack([sample, np.sqrt(np.maximum(largest**2 - (sample**2).sum(1), 0))])
