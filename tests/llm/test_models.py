@@ -131,6 +131,32 @@ def test_toxicity(spark, docs, texts, empty):
     assert toxicity.predict(train, none).where("is_toxic").count() == 0
 
 
+def test_chain_against_plain_arithmetic(spark):
+    """Probabilities equal those worked out word by word with the fitted weights, each category fed with the ones before; repeated keys are learned once."""
+    from stratalake.llm.ragged import hashes
+
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice(["ant", "bee", "cat", "dog", "eel", "fox"]) for _ in range(r.randint(3, 12))) + " vile" * (i % 4 == 0)) for i in range(120)]
+    rows += [(i, "other words for a key that comes twice") for i in range(40)]
+    labels = [(i, int("bee" in t), int("vile" in t)) for i, t in rows[:120]]
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, a int, b int")
+    chain = toxicity.fit(frame, marks, ["a", "b"], toxicity.Settings(sample=100))
+    number = {}
+    for w in {x for _, t in rows for x in t.split()}:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        h = hashes(raw, np.array([0, len(raw)]))[0]
+        at = np.searchsorted(chain.keys, h)
+        number[w] = at if at < len(chain.keys) and chain.keys[at] == h else None
+    got = {(x["doc_id"], x["p_a"]): x["p_b"] for x in toxicity.predict(frame, chain).collect()}
+    for i, t in rows:
+        earlier = []
+        for link in chain.links:
+            z = link.bias + sum(link.words[number[w]] for w in set(t.split()) if number[w] is not None) + sum(p * w for p, w in zip(earlier, link.earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        key = min((k for k in got if k[0] == i), key=lambda k: abs(k[1] - earlier[0]))
+        assert math.isclose(key[1], earlier[0], rel_tol=1e-9) and math.isclose(got[key], earlier[1], rel_tol=1e-9)
+
+
 def brute(rows, train):
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
     c = collections.Counter(w for i, t in rows if i in train for w in split(t))

@@ -1,6 +1,7 @@
 """Decontamination, url verdicts and nearest neighbours."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,117 @@ def test_relative_targets(spark):
     rows = [(1, "http://bad.com/x/one", link("index.html")), (2, "http://clean.org/x/two", link("index.html")), (3, "http://clean.org/x/three?id=1", link("?id=2")), (4, "http://other.net/d/four", link("../five")), (5, "http://clean.org/alias", link("http://bad.com/x/y/../index.html"))]
     got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [Rule("bad.com", "/", "block")]).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block"}
+
+
+def plain_verdicts(rows, rules):
+    """Verdicts by urljoin, a search through all rules for every url, and sets of aliases that are merged link by link."""
+    import re
+    from urllib.parse import urljoin, urlsplit
+
+    def parts(u):
+        if u is None or "://" not in u:
+            return "", ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups()
+        return host.lower(), path
+
+    def node(u):
+        if u is None or "://" not in u:
+            return None
+        x = urlsplit(u)
+        return f"{x.scheme.lower()}://{x.netloc.lower()}{x.path or '/'}" + (f"?{x.query}" if x.query else "")
+
+    def rule(u):
+        host, path = parts(u)
+        fit = [(len(r.host + r.path), r) for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fit, key=lambda x: x[0])[1] if fit else None
+
+    group = {}
+    for _, u, html in rows:
+        for t in re.findall(r'rel="canonical" href="([^"]*)"', html or ""):
+            a, b = node(u), node(urljoin(u, t)) if u else None
+            if a and b:
+                both = group.get(a, {a}) | group.get(b, {b})
+                group.update(dict.fromkeys(both, both))
+    out = {}
+    for i, u, _ in rows:
+        own = rule(u)
+        seen = {r.verdict for n in group.get(node(u), ()) if (r := rule(n))}
+        out[i] = (own.host + own.path, own.verdict) if own else (None, "block" if seen == {"block"} else "allow")
+    return out
+
+
+def test_urls_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    pick = lambda *x: x[rng.integers(len(x))]
+    hosts = ["a.com", "b.a.com", "UP.a.com", "c.net", "d.org", "e.f.d.org", "g.info", "h.info"]
+    rules = [Rule("com", "/x", "block"), Rule("a.com", "/x/1", "allow"), Rule("a.com", "/", "allow"), Rule("d.org", "", "block"), Rule("f.d.org", "/y/", "allow"), Rule("c.net", "/x/2", "block")]
+    rows = []
+    for i in range(300):
+        link = pick(None, None, None, f"{rng.integers(4)}", f"../{pick('x', 'y')}/{rng.integers(9)}", f"/{pick('x', 'y')}/{rng.integers(9)}", f"//{pick(*hosts)}/z/{rng.integers(30)}", f"HTTP://{pick(*hosts)}/z/{rng.integers(30)}", "?p=1", "#top")
+        rows.append((i, f"http://{pick(*hosts)}/{pick('x', 'y', 'z')}/{rng.integers(30)}{pick('', '', '?q=2', '#f')}", link and f'<link rel="canonical" href="{link}">'))
+    rows += [(900, None, "x"), (901, "index.html", '<link rel="canonical" href="http://d.org/">'), (902, "HTTP://G.info", '<link rel="canonical" href="http://d.org/">'), (903, "http://g.INFO/", None)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    want = plain_verdicts(rows, rules)
+    assert got == want and {v for _, v in want.values()} == {"block", "allow"} and want[903] == (None, "block") and want[901] == (None, "allow")
+
+
+@pytest.mark.parametrize("bound", [100_000, 10])
+def test_many_rules(spark, bound):
+    """A hundred thousand rules, most of them for one host."""
+    rules = spark.range(100_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("h"), "id", F.lit(".com"))).otherwise("hot.com").alias("host"), F.concat(F.lit("/p"), "id").alias("path"), F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"))
+    rules = rules.unionByName(rules.where("path = '/p77'").withColumn("verdict", F.lit("allow")))
+    rows = [(1, "http://HOT.com/p77777/x"), (2, "http://a.b.hot.com/p77"), (3, "http://h50.com/p50?x"), (4, "http://h50.com/p51"), (5, "http://hot.com/q"), (6, "http://" + "a." * 500 + "hot.com/p99999")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge(spark.createDataFrame(rows, "page_id long, url string"), rules, broadcast_rules=bound).collect()}
+    assert got == {1: ("hot.com/p77777", "block"), 2: ("hot.com/p77", "allow"), 3: ("h50.com/p50", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: ("hot.com/p99999", "allow")}
+
+
+def test_nearest_with_defaults(spark):
+    """Recall of the defaults on 100,000 vectors without structure, the hardest to tell apart."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(100_000, 32)).astype(np.float32)
+    lists = pa.ListArray.from_arrays(np.arange(0, v.size + 1, 32, dtype=np.int32), pa.array(v.ravel()))
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(v))), "embedding": lists}))
+    got = {}
+    for r in nearest(frame, frame.where("vec_id % 2000 = 0"), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = v[::2000].astype(float) @ v.T.astype(float)
+    score[np.arange(50), np.arange(0, 100_000, 2000)] = -np.inf
+    assert np.mean([len(got[i * 2000] & set(row.tolist())) / 20 for i, row in enumerate(np.argsort(-score, axis=1)[:, :20])]) >= 0.9
+
+
+def test_nearest_in_double_precision(spark):
+    """Vectors of doubles are compared as they are; a key with two vectors counts with the better one."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0 + 1e-12, 0.0]), (2, [1.0, 5.0]), (2, [-1.0, 0.0]), (3, [1e300, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), 20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3, 1e300), (1, 1.0 + 1e-12), (2, 1.0)]
+
+
+def test_leaks_with_repeated_shingles_and_equal_items(spark):
+    """Multiplicities count, a window is as long as its item, and recall against all windows of all texts."""
+    import collections
+    import random
+
+    r = random.Random(3)
+    items = [(i, " ".join(r.choice("abcd") * 2 if i % 2 else r.choice("abcdefghij") * 3 for _ in range(r.randint(12, 40)))) for i in range(12)]
+    items.append((99, items[0][1]))
+    rows = []
+    for i in range(80):
+        w = items[i % 12][1].split()
+        for _ in range(r.choice([0, 0, 1, 2])):
+            w[r.randrange(len(w))] = "zz"
+        rows.append((i, " ".join([f"n{r.randrange(50)}" for _ in range(r.randint(0, 30))] + w + [f"m{r.randrange(50)}" for _ in range(r.randint(0, 20))])))
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        for i, x in items:
+            b = x.split()
+            best = max((sum((grams(w[s : s + len(b)]) & grams(b)).values()) / max(1, sum((grams(w[s : s + len(b)]) | grams(b)).values())), -s) for s in range(max(1, len(w) - len(b) + 1)))
+            if best[0] >= 0.8:
+                want[d, i] = (round(best[0], 9), -best[1])
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for settings in (None, 0):
+        from stratalake.llm.decontaminate import Settings as Leak
+
+        found = {(x["doc_id"], x["item_id"]): (round(x["similarity"], 9), x["word_start"]) for x in contaminated(*frames, Leak() if settings is None else Leak(broadcast_rows=0)).collect()}
+        assert set(found) <= set(want) and len(found) >= 0.99 * len(want) and all(want[k][0] == v[0] for k, v in found.items())
