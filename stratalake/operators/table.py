@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import DEFAULT, Compiler, Expr, Registry
+from ..functions.expr import DEFAULT, Compiler, Expr, Registry, and_, col, lit
 from ..plans.prune import NEVER, Pruner, Stats
 from ..plans.stats import leaves, unit_stats, zones
 from .log import CHECKPOINT_EVERY, CommitConflict, Log, now_ms
@@ -24,7 +24,9 @@ ROW_ID, FEED_COLUMNS = "__row_id", ["_change_type", "_commit_version", "_commit_
 READER, WRITER = 3, 7
 #: Versions whose file lists a table object keeps.
 KEPT = 4
-FEATURES = {"deletionVectors", "columnMapping", "typeWidening", "rowTracking", "domainMetadata", "identityColumns", "changeDataFeed", "checkConstraints", "appendOnly", "inCommitTimestamp", "v2Checkpoint", "clustering", "variantType", "timestampNtz"}
+#: Files of a version up to which their statistics are kept on the driver, so that planning a scan needs no job.
+LOCAL_FILES = 20_000
+FEATURES = {"deletionVectors", "columnMapping", "typeWidening", "rowTracking", "domainMetadata", "identityColumns", "changeDataFeed", "checkConstraints", "appendOnly", "inCommitTimestamp", "clustering", "variantType", "timestampNtz"}
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,7 @@ class Snapshot:
     domains: dict[str, str]
     transactions: dict[str, int]
     actions: DataFrame
+    writer: tuple = (0, ())
 
     @cached_property
     def files(self) -> DataFrame:
@@ -56,6 +59,8 @@ class Table:
         self.spark, self.path, self.registry, self.isolation = spark, path, registry, isolation
         self.log = Log(spark, path)
         self._snapshots: dict[int, Snapshot] = {}
+        self._parsed: dict[int, DataFrame] = {}
+        self._held: list[DataFrame] = []
 
     # -- open and create ---------------------------------------------------------------------------------------------------------------
     @classmethod
@@ -99,6 +104,7 @@ class Table:
 
     def _forget(self, version: int) -> None:
         snap = self._snapshots.pop(version)
+        self._parsed.pop(version, None)
         if "files" in snap.__dict__:
             snap.files.unpersist()
 
@@ -132,7 +138,7 @@ class Table:
             txns = {r["txn"]["appId"]: r["txn"]["version"] for r in small if r["txn"]}
             while len(self._snapshots) >= KEPT:
                 self._forget(min(self._snapshots))
-            self._snapshots[version] = Snapshot(version, T.StructType.fromJson(json.loads(meta["schemaString"])), list(meta["partitionColumns"] or []), dict(meta["configuration"] or {}), domains, txns, actions)
+            self._snapshots[version] = Snapshot(version, T.StructType.fromJson(json.loads(meta["schemaString"])), list(meta["partitionColumns"] or []), dict(meta["configuration"] or {}), domains, txns, actions, (protocol["minWriterVersion"], tuple(protocol["writerFeatures"] or ())))
         return self._snapshots[version]
 
     def on(self, name: str, snap: Snapshot | None = None) -> bool:
@@ -159,12 +165,22 @@ class Table:
         snap = self.snapshot(version)
         if predicate is None:
             return snap.files.withColumn("verdict", F.lit(2))
-        kind, kinds, names = self._stats_type(snap)
-        parsed = snap.files.select("*", F.from_json("stats", kind).alias("_s")).select("*", "_s.*")
+        _, kinds, names = self._stats_type(snap)
+        parsed = self._with_stats(snap)
         types = {n: kinds[p] for n, p in names.items()}
         own = _Mapped(parsed.select("min", "max", "null_count", "nan_count", "exact", "num_records").schema, types, names)
         return parsed.withColumn("verdict", Pruner(own).verdict(predicate)).drop("_s", "num_records", "min", "max", "null_count", "nan_count", "exact")
 
+    def _with_stats(self, snap: Snapshot) -> DataFrame:
+        """Active files with parsed statistics, as local rows where the files are not too many."""
+        if snap.version not in self._parsed:
+            kind, kinds, _ = self._stats_type(snap)
+            parsed = snap.files.select("*", F.from_json("stats", kind).alias("_s")).select("*", "_s.*")
+            if kinds and snap.files.count() <= LOCAL_FILES:
+                parsed = self.spark.createDataFrame(parsed.toArrow(), parsed.schema)
+            self._parsed[snap.version] = parsed
+        return self._parsed[snap.version]
+
     def _rows(self, snap: Snapshot, files: DataFrame | list, masks: bool = True) -> DataFrame:
         """Rows of files with ``_path``, ``_pos`` and ``_row_id``, without those that deletion masks hide."""
         found = files if isinstance(files, list) else files.select("path", "dv", "baseRowId").collect()
@@ -233,7 +249,13 @@ class Table:
     # -- writes ------------------------------------------------------------------------------------------------------------------------
     def _commit(self, actions: list[dict], operation: str, parameters: dict, read_version: int, read: ReadSet | None = None, blind: bool = False, rebase: bool = True, attempts: int = 100) -> int:
         read, version = read or ReadSet(), read_version + 1
+        snap = self.snapshot(read_version) if read_version >= 0 else None
+        if snap and (snap.writer[0] > WRITER or set(snap.writer[1]) - FEATURES):
+            raise ValueError(f"writing needs version {snap.writer[0]} and features {snap.writer[1]}")
+        high = int(json.loads(snap.domains.get("rowTracking", '{"high": -1}'))["high"]) if snap and self.on("rowTracking", snap) else None
+        given = actions
         for _ in range(attempts):
+            actions = given if high is None else self._with_row_ids(given, high, version)
             before = 0
             if version > 0:
                 before = next((a["commitInfo"]["inCommitTimestamp"] for a in self.log.actions_of(version - 1) if "commitInfo" in a), 0)
@@ -247,6 +269,9 @@ class Table:
                     raise ConcurrentModification("concurrentWrite", f"version {version} was taken") from None
                 if kind := conflict(actions, read, self.log.actions_of(version), self.isolation):
                     raise ConcurrentModification(kind, f"version {version}") from None
+                for a in self.log.actions_of(version):
+                    if high is not None and (a.get("domainMetadata") or {}).get("domain") == "rowTracking":
+                        high = int(json.loads(a["domainMetadata"]["configuration"])["high"])
                 version += 1
         else:
             raise ConcurrentModification("tooManyAttempts")
@@ -254,6 +279,18 @@ class Table:
             self.log.checkpoint(version)
         return version
 
+    @staticmethod
+    def _with_row_ids(actions: list[dict], high: int, version: int) -> list[dict]:
+        """The actions of a commit with row ids for its new files, from the highest id of the version before: ids are given when the version is known, so no two commits and no two files share any."""
+        out, start = [], high
+        for a in actions:
+            add = a.get("add")
+            if add and add.get("baseRowId") is None:
+                a = {"add": add | {"baseRowId": high + 1, "defaultRowCommitVersion": version}}
+                high += json.loads(add["stats"])["num_records"]
+            out.append(a)
+        return out if high == start else [*out, {"domainMetadata": {"domain": "rowTracking", "configuration": json.dumps({"high": high}), "removed": False}}]
+
     def _aligned(self, df: DataFrame, snap: Snapshot, order: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
         """The rows in the table's schema, with defaults, generated and identity values, and constraints that raise; and the metadata that identity values move on."""
         extra = set(df.columns) - set(snap.schema.names) - {"_row_id"}
@@ -262,7 +299,7 @@ class Table:
         identity = [f for f in snap.schema.fields if "identity.start" in f.metadata and f.name not in df.columns]
         actions: list[dict] = []
         if identity:
-            df = zones(df, order or df.columns, 1).drop("zone")
+            df = zones(df, order or df.columns, 1, self._held).drop("zone")
             n, fields = df.count(), []
             for f in snap.schema.fields:
                 if f in identity:
@@ -293,7 +330,7 @@ class Table:
                 out = out.withColumn(first, F.when(~F.coalesce(F.expr(rule), F.lit(True)), F.raise_error(F.lit(f"CHECK {name[11:]} fails")).cast(out.schema[first].dataType)).otherwise(_q(first)))
         return out, actions
 
-    def _write(self, df: DataFrame, snap: Snapshot, data_change: bool = True, version: int | None = None) -> list[dict]:
+    def _write(self, df: DataFrame, snap: Snapshot, data_change: bool = True) -> list[dict]:
         """Writes data files and returns their add actions, with statistics of every file."""
         physical = physical_type(snap.schema)
         columns = [_q(f.name).cast(p.dataType).alias(p.name) for f, p in zip(snap.schema.fields, physical.fields, strict=True)]
@@ -308,9 +345,11 @@ class Table:
         if copies:
             writer = writer.partitionBy(*[f"__part_{c}" for c in snap.partition_by])
         writer.parquet(f"{self.log.store.uri}/{folder}")
-        return self._adds(folder, snap, data_change, version)
+        while self._held:
+            self._held.pop().unpersist()
+        return self._adds(folder, snap, data_change)
 
-    def _adds(self, folder: str, snap: Snapshot, data_change: bool, version: int | None = None) -> list[dict]:
+    def _adds(self, folder: str, snap: Snapshot, data_change: bool) -> list[dict]:
         files = {p: (size, at) for p, size, at in self.log.store.walk(folder) if p.endswith(".parquet")}
         if not files:
             return []
@@ -320,17 +359,10 @@ class Table:
         stats = unit_stats(raw.drop("_pos", "_row_id"), "_path", [n for n, _ in leaves(physical)])
         parts = {c: physical.names[snap.schema.names.index(c)] for c in snap.partition_by}
         made = stats.select("unit", "num_records", F.to_json(F.struct("num_records", "min", "max", "null_count", "nan_count", "exact")).alias("stats"), F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.col("min").getField(p).cast("string"))] or [F.lit(""), F.lit("")]).alias("parts"))
-        base = int(json.loads(snap.domains.get("rowTracking", '{"high": -1}'))["high"]) + 1
-        out, track = [], self.on("rowTracking", snap)
+        out = []
         for r in sorted(made.collect(), key=lambda r: r["unit"]):
             size, at = files[r["unit"]]
-            add = {"path": r["unit"], "partitionValues": {k: v for k, v in r["parts"].items() if k}, "size": size, "modificationTime": at, "dataChange": data_change, "stats": r["stats"]}
-            if track:
-                add |= {"baseRowId": base, "defaultRowCommitVersion": snap.version + 1 if version is None else version}
-                base += r["num_records"]
-            out.append({"add": add})
-        if track and out:
-            out.append({"domainMetadata": {"domain": "rowTracking", "configuration": json.dumps({"high": base - 1}), "removed": False}})
+            out.append({"add": {"path": r["unit"], "partitionValues": {k: v for k, v in r["parts"].items() if k}, "size": size, "modificationTime": at, "dataChange": data_change, "stats": r["stats"]}})
         return out
 
     @staticmethod
@@ -347,7 +379,7 @@ class Table:
             actions.append({"txn": {"appId": transaction[0], "version": transaction[1], "lastUpdated": now_ms()}})
         rows, more = self._aligned(df, snap, identity_order)
         adds = self._write(rows, snap)
-        return self._commit([*actions, *more, *adds], "WRITE", {"mode": "Append"}, snap.version, blind=True, rebase=not more and not self.on("rowTracking", snap))
+        return self._commit([*actions, *more, *adds], "WRITE", {"mode": "Append"}, snap.version, blind=True, rebase=not more)
 
     def _writable(self, snap: Snapshot) -> None:
         if self.on("appendOnly", snap):
@@ -416,12 +448,19 @@ class Table:
         self._writable(snap)
         files = self._candidates(where, snap)
         rows = self._rows(snap, files)
-        return self._delete(snap, files, rows.where(self._predicate(where, snap, rows)), "DELETE")
+        return self._change(snap, files, self._deleted(snap, files, rows.where(self._predicate(where, snap, rows))), "DELETE")
+
+    def _change(self, snap: Snapshot, files: list, made: tuple[int, list[dict]], operation: str) -> tuple[int, int]:
+        n, actions = made
+        if not n:
+            return 0, snap.version
+        return n, self._commit(actions, operation, {}, snap.version, ReadSet(files={r["path"] for r in files}, matches=lambda add: True))
 
-    def _delete(self, snap: Snapshot, files: list, hit: DataFrame, operation: str) -> tuple[int, int]:
+    def _deleted(self, snap: Snapshot, files: list, hit: DataFrame) -> tuple[int, list[dict]]:
+        """The number of rows hit, and the actions that delete them."""
         counts = {r["_path"]: r["count"] for r in hit.groupBy("_path").count().collect()}
         if not counts:
-            return 0, snap.version
+            return 0, []
         touched = {r["path"]: r for r in files if r["path"] in counts}
         live = {p: json.loads(r["stats"])["num_records"] - (r["dvRows"] or 0) for p, r in touched.items()}
         partial = sorted(p for p in touched if counts[p] < live[p])
@@ -440,26 +479,30 @@ class Table:
                 actions.append({"add": {"path": p, "partitionValues": dict(r["partitionValues"] or {}), "size": r["size"], "modificationTime": now_ms(), "dataChange": True, "stats": r["stats"], "dv": dv, "dvRows": (r["dvRows"] or 0) + counts[p], "baseRowId": r["baseRowId"]}})
         if self.on("changeDataFeed", snap):
             actions += self._feed(hit.withColumn("_change_type", F.lit("delete")), snap)
-        return sum(counts.values()), self._commit(actions, operation, {}, snap.version, ReadSet(files={r["path"] for r in files}, matches=lambda add: True))
+        return sum(counts.values()), actions
 
     def update(self, where: Expr | Column | Callable[[DataFrame], Column], values: dict[str, Expr | Column | Any]) -> tuple[int, int]:
         """Sets columns where the predicate is TRUE; files with such rows are written anew."""
         snap = self.snapshot()
         self._writable(snap)
+        files = self._candidates(where, snap)
+        return self._change(snap, files, self._updated(snap, files, *self._assigned(snap, files, where, values)), "UPDATE")
+
+    def _assigned(self, snap: Snapshot, files: list, where: Any, values: dict[str, Any]) -> tuple[DataFrame, dict[str, Column]]:
         for c in values:
             if c not in snap.schema.names:
                 raise ValueError(f"no column {c!r}")
-        files = self._candidates(where, snap)
         rows = self._rows(snap, files)
         hit = F.coalesce(self._predicate(where, snap, rows), F.lit(False))
         compiler = Compiler(snap.schema, self.registry)
         new = {c: (compiler.column(v) if isinstance(v, Expr) else v if isinstance(v, Column) else F.lit(v)) for c, v in values.items()}
-        return self._update(snap, files, rows.withColumn("_hit", hit), new, "UPDATE")
+        return rows.withColumn("_hit", hit), new
 
-    def _update(self, snap: Snapshot, files: list, rows: DataFrame, new: dict[str, Column], operation: str) -> tuple[int, int]:
+    def _updated(self, snap: Snapshot, files: list, rows: DataFrame, new: dict[str, Column]) -> tuple[int, list[dict]]:
+        """The number of rows hit, and the actions that write their files anew."""
         counts = {r["_path"]: r["count"] for r in rows.where("_hit").groupBy("_path").count().collect()}
         if not counts:
-            return 0, snap.version
+            return 0, []
         touched = [r for r in files if r["path"] in counts]
         own = rows.join(F.broadcast(self.spark.createDataFrame([(p,) for p in counts], "_path string")), "_path", "left_semi")
         after = own.select(*[F.when(F.col("_hit"), new[f.name].cast(f.dataType)).otherwise(_q(f.name)).alias(f.name) if f.name in new else _q(f.name) for f in snap.schema.fields], "_row_id", "_hit")
@@ -468,7 +511,7 @@ class Table:
         if self.on("changeDataFeed", snap):
             images = own.where("_hit").select(*snap.schema.names, F.lit("update_preimage").alias("_change_type")).unionByName(after.where("_hit").select(*snap.schema.names, F.lit("update_postimage").alias("_change_type")))
             actions += self._feed(images, snap)
-        return sum(counts.values()), self._commit(actions, operation, {}, snap.version, ReadSet(files={r["path"] for r in files}, matches=lambda add: True))
+        return sum(counts.values()), actions
 
     def _by_ids(self, snap: Snapshot, ids: DataFrame) -> tuple[list, DataFrame]:
         files = self._candidates(None, snap)
@@ -482,7 +525,7 @@ class Table:
         snap = self.snapshot()
         self._writable(snap)
         files, keyed = self._by_ids(snap, ids.select("row_id").distinct())
-        return self._delete(snap, files, self._rows(snap, files).join(keyed, ["_path", "_pos"], "left_semi"), "DELETE BY ROW ID")
+        return self._change(snap, files, self._deleted(snap, files, self._rows(snap, files).join(keyed, ["_path", "_pos"], "left_semi")), "DELETE BY ROW ID")
 
     def update_by_row_ids(self, values: DataFrame) -> tuple[int, int]:
         """Sets the columns of ``values`` in the rows of its ``row_id``; a NULL there leaves the old value."""
@@ -491,7 +534,7 @@ class Table:
         files, keyed = self._by_ids(snap, values)
         names = [c for c in values.columns if c != "row_id"]
         rows = self._rows(snap, files).join(keyed.select("_path", "_pos", F.lit(True).alias("_hit"), *[_q(c).alias(f"_new_{c}") for c in names]), ["_path", "_pos"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-        return self._update(snap, files, rows, {c: F.coalesce(_q(f"_new_{c}"), _q(c)) for c in names}, "UPDATE BY ROW ID")
+        return self._change(snap, files, self._updated(snap, files, rows, {c: F.coalesce(_q(f"_new_{c}"), _q(c)) for c in names}), "UPDATE BY ROW ID")
 
     # -- change feed -------------------------------------------------------------------------------------------------------------------
     def changes(self, start: int, end: int | None = None) -> DataFrame:
@@ -574,36 +617,58 @@ class Table:
         return self._commit([self._metadata(then.schema, then.partition_by, then.properties), *removes, *adds], "RESTORE", {"version": version}, snap.version, ReadSet(True), rebase=False)
 
     def merge(self, source: DataFrame, on: list[str], update: bool = True, insert: bool = True) -> int:
-        """Upserts rows by key; a key that comes twice in the source raises."""
+        """Upserts rows by key; a key that comes twice in the source raises. Only files that may hold a key of the source's range are read; rows keep their stable ids."""
         snap = self.snapshot()
         self._writable(snap)
+        source = source.persist()
+        try:
+            return self._merge(snap, source, on, update, insert)
+        finally:
+            source.unpersist()
+
+    def _merge(self, snap: Snapshot, source: DataFrame, on: list[str], update: bool, insert: bool) -> int:
         if source.groupBy(*on).count().where("count > 1").limit(1).count():
             raise ValueError("the source has a key twice")
-        files = self._candidates(None, snap)
+        bounds = source.agg(*[x for c in on for x in (F.min(_q(c)), F.max(_q(c)))]).first()
+        ranges = [x for i, c in enumerate(on) if bounds[2 * i] is not None and bounds[2 * i] == bounds[2 * i] and bounds[2 * i + 1] == bounds[2 * i + 1] for x in (col(c) >= lit(bounds[2 * i]), col(c) <= lit(bounds[2 * i + 1]))]
+        files = self._candidates(and_(*ranges) if ranges else None, snap)
         rows, marked = self._rows(snap, files), source.withColumn("_src", F.lit(True))
-        names = [c for c in source.columns if c not in on]
+        names, feed = [c for c in source.columns if c not in on], self.on("changeDataFeed", snap)
         joined = rows.join(marked.select(*on, "_src", *[_q(c).alias(f"_new_{c}") for c in names]), on, "left")
-        hit = joined.where("_src").select("_path").distinct().collect() if update else []
-        touched = [r for r in files if r["path"] in {x["_path"] for x in hit}]
-        actions = self._removes(touched)
+        hit = {r["_path"] for r in joined.where("_src").select("_path").distinct().collect()} if update else set()
+        touched = [r for r in files if r["path"] in hit]
+        actions, images = self._removes(touched), []
         if touched:
-            own = joined.join(F.broadcast(self.spark.createDataFrame([(r["path"],) for r in touched], "_path string")), "_path", "left_semi")
-            after = own.select(*[F.when(F.col("_src"), _q(f"_new_{f.name}").cast(f.dataType)).otherwise(_q(f.name)).alias(f.name) if f.name in names else _q(f.name) for f in snap.schema.fields])
-            actions += self._write(self._aligned(after, snap)[0], snap)
+            own = joined.join(F.broadcast(self.spark.createDataFrame([(p,) for p in sorted(hit)], "_path string")), "_path", "left_semi")
+            kept = ["_row_id"] if self.on("rowTracking", snap) else []
+            after = own.select(*[F.when(F.col("_src"), _q(f"_new_{f.name}").cast(f.dataType)).otherwise(_q(f.name)).alias(f.name) if f.name in names else _q(f.name) for f in snap.schema.fields], *kept, "_src")
+            actions += self._write(self._aligned(after.drop("_src"), snap)[0], snap)
+            images += [own.where("_src").select(*snap.schema.names, F.lit("update_preimage").alias("_change_type")), after.where("_src").select(*snap.schema.names, F.lit("update_postimage").alias("_change_type"))]
         if insert:
-            fresh = source.join(rows.select(*on).distinct(), on, "left_anti")
-            actions += self._write(self._aligned(fresh, snap)[0], snap)
-        return self._commit(actions, "MERGE", {}, snap.version, ReadSet(True))
+            fresh, more = self._aligned(source.join(rows.select(*on).distinct(), on, "left_anti"), snap)
+            if feed and more:  # identity values are given once
+                fresh = fresh.persist()
+                self._held.append(fresh)
+            actions += [*more, *self._write(fresh, snap)] if not feed else [*more, *self._feed_and_write(fresh, snap)]
+        if feed and images:
+            actions += self._feed(images[0].unionByName(images[1]), snap)
+        return self._commit(actions, "MERGE", {}, snap.version, ReadSet(True), rebase=not any(a.get("metaData") for a in actions))
+
+    def _feed_and_write(self, rows: DataFrame, snap: Snapshot) -> list[dict]:
+        """Inserted rows as change rows and as data."""
+        return [*self._feed(rows.withColumn("_change_type", F.lit("insert")), snap), *self._write(rows, snap)]
 
     # -- external writers --------------------------------------------------------------------------------------------------------------
     def stage(self, df: DataFrame) -> list[dict]:
-        """Writes data files without committing them; `commit_staged` does."""
+        """Writes data files without committing them; `commit_staged` does, and gives row ids then. Identity values hold for the version that they were staged on only."""
         snap = self.snapshot()
         rows, more = self._aligned(df, snap)
-        return [*more, *self._write(rows, snap)]
+        return [*more, *([{"staged": {"readVersion": snap.version}}] if more else []), *self._write(rows, snap)]
 
     def commit_staged(self, staged: list[dict], extra: Iterable[dict] = ()) -> int:
-        return self._commit([*staged, *extra], "WRITE", {"mode": "Append"}, self.version, blind=True)
+        bound = [a["staged"]["readVersion"] for a in staged if "staged" in a]
+        actions = [a for a in staged if "staged" not in a]
+        return self._commit([*actions, *extra], "WRITE", {"mode": "Append"}, bound[0] if bound else self.version, blind=True, rebase=not bound)
 
     def transaction(self) -> Transaction:
         return Transaction(self)
@@ -684,18 +749,43 @@ class _Mapped(Stats):
 
 
 class Transaction:
-    """Several appends and predicates' deletes as one version; what they read is checked against commits that came in between."""
+    """Several appends, deletes and updates as one version; what they read is checked against commits that came in between. They all see the version that the transaction began on, so none may change a file that another changed."""
 
     def __init__(self, table: Table):
         self.table, self.snap = table, table.snapshot()
         self.actions: list[dict] = []
         self.read = ReadSet()
+        self.rebase = True
 
     def append(self, df: DataFrame) -> Transaction:
         rows, more = self.table._aligned(df, self.snap)
-        self.actions += [*more, *self.table._write(rows, self.snap)]
+        self.rebase = self.rebase and not more
+        feed = self.table.on("changeDataFeed", self.snap)
+        self.actions += [*more, *(self.table._feed_and_write if feed else self.table._write)(rows, self.snap)]
         return self
 
+    def _row_level(self, files: list, made: tuple[int, list[dict]]) -> Transaction:
+        before = {a["remove"]["path"] for a in self.actions if "remove" in a}
+        if before & {a["remove"]["path"] for a in made[1] if "remove" in a}:
+            raise ValueError("the transaction changes a file twice")
+        self.read.files |= {r["path"] for r in files}
+        self.read.matches = lambda add: True
+        self.actions += made[1]
+        return self
+
+    def delete(self, where: Expr | Column | Callable[[DataFrame], Column]) -> Transaction:
+        """Deletes the rows for which the predicate is TRUE."""
+        self.table._writable(self.snap)
+        files = self.table._candidates(where, self.snap)
+        rows = self.table._rows(self.snap, files)
+        return self._row_level(files, self.table._deleted(self.snap, files, rows.where(self.table._predicate(where, self.snap, rows))))
+
+    def update(self, where: Expr | Column | Callable[[DataFrame], Column], values: dict[str, Expr | Column | Any]) -> Transaction:
+        """Sets columns where the predicate is TRUE."""
+        self.table._writable(self.snap)
+        files = self.table._candidates(where, self.snap)
+        return self._row_level(files, self.table._updated(self.snap, files, *self.table._assigned(self.snap, files, where, values)))
+
     def remove_files(self, where: Expr) -> Transaction:
         """Removes the files all of whose rows match; raises if a file matches in part."""
         files = self.table.candidate_files(where, self.snap.version).where(F.col("verdict") != NEVER).collect()
@@ -707,4 +797,4 @@ class Transaction:
         return self
 
     def commit(self) -> int:
-        return self.table._commit(self.actions, "TRANSACTION", {}, self.snap.version, self.read, blind=not self.read.files)
+        return self.table._commit(self.actions, "TRANSACTION", {}, self.snap.version, self.read, blind=not self.read.files, rebase=self.rebase)

@@ -16,6 +16,7 @@ from ..functions import transforms
 from ..functions.expr import FALSE, TRUE, Bool, Compiler, Expr, Registry, and_, builtin, call, col, keep, lit, not_, or_
 from ..operators import encodings, snapshots
 from ..operators.schema import identity
+from ..operators.log import Log
 from ..operators.table import Table
 from ..operators.txn import WRITE_SERIALIZABLE, ReadSet, conflict
 from ..sources import avro, files
@@ -303,19 +304,19 @@ def point_read_by_rowid(spark, d):
 
 
 # -- table writes ----------------------------------------------------------------------------------------------------------------------
-@query(f"SELECT {ORDER} FROM orders WHERE o_orderkey % 3 < 2")
+@query(f"SELECT {ORDER} FROM orders")
 def append_table(spark, d):
     o = read(spark, d, "orders")
     t = _table(spark, o.where("o_orderkey % 3 = 0"), "append")
-    t.append(o.where("o_orderkey % 3 = 1"))
+    t.append(o.where("o_orderkey % 3 <> 0"))
     return t.scan()
 
 
-@query(f"SELECT {ORDER} FROM orders WHERE o_orderkey % 3 = 1")
+@query(f"SELECT {ORDER} FROM orders WHERE o_orderkey % 3 <> 0")
 def overwrite_table(spark, d):
     o = read(spark, d, "orders")
     t = _table(spark, o.where("o_orderkey % 3 = 0"), "overwrite")
-    t.overwrite(o.where("o_orderkey % 3 = 1"))
+    t.overwrite(o.where("o_orderkey % 3 <> 0"))
     return t.scan()
 
 
@@ -367,9 +368,10 @@ def table_history(spark, d):
 
 @query("SELECT path, version FROM (SELECT 'f' || (user_id % 50) AS path, event_id AS version, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'")
 def log_replay(spark, d):
-    e = read(spark, d, "events").select(F.concat(F.lit("f"), F.col("user_id") % 50).alias("path"), F.col("event_id").alias("version"), (F.col("event_type") != "error").alias("is_add"))
-    last = e.groupBy("path").agg(F.max_by(F.struct("version", "is_add"), "version").alias("x"))
-    return last.where("x.is_add").select("path", F.col("x.version").alias("version"))
+    e = read(spark, d, "events")
+    one, add = F.struct(F.concat(F.lit("f"), F.col("user_id") % 50).alias("path")), F.col("event_type") != "error"
+    actions = e.select(F.when(add, one).alias("add"), F.when(~add, one).alias("remove"), F.col("event_id").alias("version"))
+    return Log.active(actions).select("path", "version")
 
 
 DELETED = (col("o_totalprice") > 250000.0) & (col("o_orderstatus") == "F")
@@ -432,22 +434,24 @@ def cdf_inferred_deletes(spark, d):
     return t.changes(5, 5).select("o_orderkey", F.col("_change_type").alias("change"))
 
 
-@query(f"SELECT {ORDER} FROM orders WHERE o_custkey >= 100")
+@query(f"SELECT {ORDER}, 1::BIGINT AS files, 0::BIGINT AS masked FROM orders WHERE o_custkey >= 100")
 def compact_table(spark, d):
     t = _three(spark, d, "compact")
     t.delete(col("o_custkey") < 100)
     t.compact()
-    return t.scan()
+    left = t.snapshot().files.agg(F.count(F.lit(1)).alias("files"), F.count("dv").alias("masked"))
+    return t.scan().crossJoin(F.broadcast(left))
 
 
-@query(f"SELECT {ORDER} FROM orders WHERE o_custkey >= 100")
+@query(f"SELECT {ORDER}, 1::BIGINT AS files_left, true AS some_gone FROM orders WHERE o_custkey >= 100")
 def vacuum_keepset(spark, d):
     t = _three(spark, d, "vacuum")
     t.delete(col("o_custkey") < 50)
     t.compact()
     t.delete(col("o_custkey") < 100)
-    t.vacuum(-1000)
-    return t.scan()
+    gone = t.vacuum(-1000)
+    left = [p for p, *_ in t.log.store.walk("data") if p.endswith(".parquet")]
+    return t.scan().withColumns({"files_left": F.lit(len(left)).cast("long"), "some_gone": F.lit(len(gone) > 0)})
 
 
 @query(f"SELECT {ORDER} FROM orders")
@@ -455,6 +459,8 @@ def checkpoint_replay(spark, d):
     t = _three(spark, d, "checkpoint")
     t.compact_log(1, 2)
     t.checkpoint()
+    for v in range(t.version):  # only the checkpoint knows these commits now
+        t.log.store.delete(t.log.name(v))
     return Table.open(spark, t.path).scan()
 
 
@@ -466,12 +472,46 @@ def restore_version(spark, d):
     return t.scan(["o_orderkey", "o_totalprice"])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey >= 4000 AND o_orderkey < 5000 THEN -1.0 WHEN o_orderkey >= 5000 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey < 6000")
+def _merged(spark, d, name: str, n: int = 3, **properties) -> Table:
+    """Orders that are not pending, with open and pending ones merged into them at a price of -1."""
+    o = read(spark, d, "orders")
+    t = Table.create(spark, new_folder(spark, name), o.schema, properties=properties)
+    own = o.where("o_orderstatus <> 'P'")
+    t.append(own.repartitionByRange(n, "o_orderkey") if n > 1 else own.coalesce(1).sortWithinPartitions("o_orderkey"))
+    t.merge(o.where("o_orderstatus <> 'F'").withColumn("o_totalprice", F.lit(-1.0)), ["o_orderkey"])
+    return t
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -1.0 END AS o_totalprice FROM orders")
 def merge_into(spark, d):
+    return _merged(spark, d, "merge").scan(["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT o_orderkey, o_totalprice, 'update_preimage' AS change FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, -1.0, 'update_postimage' FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, -1.0, 'insert' FROM orders WHERE o_orderstatus = 'P'")
+def cdf_merge(spark, d):
+    t = _merged(spark, d, "cdf-merge", changeDataFeed="true")
+    return t.changes(2, 2).select("o_orderkey", "o_totalprice", F.col("_change_type").alias("change"))
+
+
+@query("WITH t AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS id FROM orders WHERE o_orderstatus <> 'P') SELECT o.o_orderkey, t.id AS kept_id, 1::BIGINT AS rows_of_id, o.o_orderstatus = 'P' AS is_new FROM orders o LEFT JOIN t USING (o_orderkey)")
+def row_tracking_merge(spark, d):
+    """Rows that were there keep their ids, new ones have ids beyond them, and no id comes twice."""
+    t = _merged(spark, d, "merge-ids", 1, rowTracking="true")
+    before = t.scan_with_stable_ids(1).agg(F.max("_row_id").alias("top"))
+    rows = t.scan_with_stable_ids()
+    times = rows.groupBy("_row_id").agg(F.count(F.lit(1)).alias("rows_of_id"))
+    fresh = F.col("_row_id") > F.col("top")
+    return rows.join(times, "_row_id").crossJoin(F.broadcast(before)).select("o_orderkey", F.when(~fresh, F.col("_row_id")).alias("kept_id"), "rows_of_id", fresh.alias("is_new"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_custkey < 100 THEN 0.0 ELSE o_totalprice END AS o_totalprice, 2::BIGINT AS version FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey < 50)")
+def transaction_row_level(spark, d):
+    """An append, a delete and an update as one version."""
     o = read(spark, d, "orders")
-    t = _table(spark, o.where("o_orderkey < 5000"), "merge", 3, ("o_orderkey",))
-    t.merge(o.where("o_orderkey between 4000 and 5999").withColumn("o_totalprice", F.lit(-1.0)), ["o_orderkey"])
-    return t.scan(["o_orderkey", "o_totalprice"])
+    t = _table(spark, o.where("o_orderstatus <> 'P'"), "txn-rows", partition_by=["o_orderstatus"])
+    own = t.transaction().append(o.where("o_orderstatus = 'P'")).delete((col("o_orderstatus") == "F") & (col("o_custkey") < 50))
+    version = own.update((col("o_orderstatus") == "O") & (col("o_custkey") < 100), {"o_totalprice": 0.0}).commit()
+    return t.scan(["o_orderkey", "o_totalprice"]).withColumn("version", F.lit(version).cast("long"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey >= 5000")
@@ -626,11 +666,11 @@ def parquet_row_group(spark, d):
 
 
 # -- snapshots -------------------------------------------------------------------------------------------------------------------------
-SNAPS = "(SELECT event_id AS snapshot_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id - 1 END AS parent_id, ts FROM events WHERE event_id < 1000)"
+SNAPS = "(SELECT event_id AS snapshot_id, CASE WHEN event_id % 500 = 0 THEN NULL ELSE event_id - 1 END AS parent_id, ts FROM events)"
 
 
 def _snaps(spark, d) -> DataFrame:
-    return read(spark, d, "events").where("event_id < 1000").select(F.col("event_id").alias("snapshot_id"), F.expr("CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id - 1 END").alias("parent_id"), "ts")
+    return read(spark, d, "events").select(F.col("event_id").alias("snapshot_id"), F.expr("CASE WHEN event_id % 500 = 0 THEN NULL ELSE event_id - 1 END").alias("parent_id"), "ts")
 
 
 @query(f"SELECT snapshot_id FROM {SNAPS} WHERE ts < TIMESTAMP '2024-01-03' EXCEPT SELECT snapshot_id FROM (SELECT snapshot_id FROM {SNAPS} ORDER BY ts DESC, snapshot_id DESC LIMIT 900)")
@@ -640,6 +680,7 @@ def snapshot_expire(spark, d):
 
 @query(f"WITH RECURSIVE s AS {SNAPS}, l(snapshot_id, parent_id, depth) AS (SELECT snapshot_id, parent_id, 0 FROM s WHERE snapshot_id = 777 UNION ALL SELECT s.snapshot_id, s.parent_id, l.depth + 1 FROM l JOIN s ON s.snapshot_id = l.parent_id) SELECT snapshot_id, depth FROM l")
 def snapshot_lineage(spark, d):
+    """From 777 back to the head of its line, 277 steps."""
     return snapshots.lineage(_snaps(spark, d), 777)
 
 

@@ -56,10 +56,12 @@ def unit_stats(df: DataFrame, unit: Column | str, columns: list[str] | None = No
     return out.select("unit", "num_records", *[F.struct(*x).alias(n) for x, n in ((low, "min"), (high, "max"), (nulls, "null_count"), (nans, "nan_count"), (exact, "exact"))])
 
 
-def zones(df: DataFrame, order: list[str], rows: int) -> DataFrame:
-    """The rows with ``zone`` and ``zone_row``: runs of ``rows`` rows of a total order. Numbers come from counts of range partitions, so no task holds all rows."""
+def zones(df: DataFrame, order: list[str], rows: int, held: list[DataFrame] | None = None) -> DataFrame:
+    """The rows with ``zone`` and ``position``: runs of ``rows`` rows of a total order. Numbers come from counts of range partitions, so no task holds all rows. The ordered rows are persisted; ``held`` takes them, for a caller that lets them go."""
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     ranged = ranged.select("*", F.spark_partition_id().alias("_p")).persist()  # one set of range bounds for both uses
+    if held is not None:
+        held.append(ranged)
     within = Window.partitionBy("_p").orderBy(*order)
     counts = ranged.groupBy("_p").count()
     before = counts.select("_p", (F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_b"))

@@ -223,3 +223,83 @@ def test_expiry_of_many_snapshots(spark, last):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     order = sorted(range(10_000), key=lambda i: (i * 7919 % 997, i), reverse=True)
     assert sorted(r["snapshot_id"] for r in out.collect()) == sorted(i for i in order[last:] if i * 7919 % 997 < 600)
+
+
+def _ids(t):
+    return sorted((r["id"], r["_row_id"]) for r in t.scan_with_stable_ids().collect())
+
+
+def test_row_ids_are_given_at_commit(spark, path):
+    """Merged, staged and concurrently appended rows have ids of their own, and rows that stay keep theirs."""
+    one = lambda *ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, value string").coalesce(1)
+    t = Table.create(spark, path, "id long, value string", properties={"rowTracking": True})
+    t.append(one(1, 2))
+    before = dict(_ids(t))
+    t.merge(one(2, 9, 10), ["id"])
+    after = dict(_ids(t))
+    assert after[1] == before[1] and after[2] == before[2] and len(set(after.values())) == 4
+    t.transaction().append(one(20)).append(one(21)).commit()
+    late = t.stage(one(30, 31))
+    other = Table.open(spark, path)
+    open_ = other.transaction().append(one(40))
+    t.append(one(50))
+    t.commit_staged(late)
+    open_.commit()
+    every = _ids(t.refresh())
+    assert [i for i, _ in every] == [1, 2, 9, 10, 20, 21, 30, 31, 40, 50] and len({x for _, x in every}) == 10
+    t.compact()
+    assert _ids(t) == every
+
+
+def test_identity_values_of_staged_rows_are_bound(spark, path):
+    t = Table.create(spark, path, T.StructType([T.StructField("v", T.StringType()), identity("id", 1, 1)]))
+    staged = t.stage(spark.createDataFrame([("a",)], "v string"))
+    t.append(spark.createDataFrame([("b",)], "v string"))
+    with pytest.raises(ConcurrentModification):
+        t.commit_staged(staged)
+    assert [(r["v"], r["id"]) for r in t.scan().collect()] == [("b", 1)]
+
+
+def test_row_level_changes_in_a_transaction(spark, path):
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "id long, value string")
+    t = Table.create(spark, path, rows.schema, properties={"changeDataFeed": True})
+    t.append(rows.repartitionByRange(2, "id"))
+    v = t.transaction().delete(col("id") < 3).update(col("id") >= 15, {"value": "x"}).append(spark.createDataFrame([(99, "n")], rows.schema)).commit()
+    assert v == 2 and {r["id"] for r in t.scan().collect()} == {*range(3, 20), 99} and t.scan(filter=col("value") == "x").count() == 5
+    kinds = sorted((r["_change_type"], r["id"]) for r in t.changes(2, 2).collect())
+    assert kinds == sorted([*[("delete", i) for i in range(3)], *[(k, i) for i in range(15, 20) for k in ("update_preimage", "update_postimage")], ("insert", 99)])
+    with pytest.raises(ValueError, match="twice"):
+        t.transaction().delete(col("id") == 4).delete(col("id") == 5)
+    slow = t.transaction().delete(col("id") == 6)
+    t.delete(col("id") == 7)
+    with pytest.raises(ConcurrentModification):
+        slow.commit()
+
+
+def test_merge_reads_files_of_the_key_range_only(spark, path):
+    rows = spark.createDataFrame([(i, "a") for i in range(100)], "id long, value string")
+    t = Table.create(spark, path, rows.schema)
+    t.append(rows.repartitionByRange(4, "id"))
+    files = {r["path"] for r in t.snapshot().files.collect()}
+    t.merge(spark.createDataFrame([(3, "b"), (None, "c"), (5, "d")], rows.schema), ["id"])
+    assert len(files & {r["path"] for r in t.snapshot().files.collect()}) == 3
+    assert sorted((r["id"], r["value"]) for r in t.scan(filter=col("value") != "a").collect() if r["id"]) == [(3, "b"), (5, "d")] and t.scan().count() == 101
+
+
+def test_unknown_writer_features_are_refused(spark, path):
+    t = Table.create(spark, path, "id long")
+    t.log.write(1, [{"commitInfo": {"timestamp": 1, "inCommitTimestamp": 1 << 50, "operation": "UPGRADE"}}, {"protocol": {"minReaderVersion": 1, "minWriterVersion": 7, "readerFeatures": [], "writerFeatures": ["somethingNew"]}}])
+    t = Table.open(spark, path)
+    assert t.scan().count() == 0
+    with pytest.raises(ValueError, match="somethingNew"):
+        t.append(spark.range(3))
+
+
+def test_lineage_of_any_length(spark):
+    from stratalake.operators import snapshots
+
+    rows = [(i, i - 1 if i else None) for i in range(700)] + [(1000, 1001), (1001, 1000), (2000, 5000)]
+    frame = spark.createDataFrame(rows, "snapshot_id long, parent_id long")
+    line = lambda start: sorted((r["depth"], r["snapshot_id"]) for r in snapshots.lineage(frame, start).collect())
+    assert line(699) == [(i, 699 - i) for i in range(700)]
+    assert line(1000) == [(0, 1000), (1, 1001)] and line(2000) == [(0, 2000)] and line(7777) == []
