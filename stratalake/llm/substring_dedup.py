@@ -26,18 +26,19 @@ _NO_ID = 2**63 - 1
 @dataclass(frozen=True)
 class Settings:
     """``window``: words of a repeat. ``anchor``: words of the anchors that deal windows to shards. ``shard``: segments of an index.
-    ``crowd``: distinct segments of one anchor beyond which its windows are matched by key. ``filter_bytes``: most that a filter may hold;
+    ``crowd``: distinct segments of one anchor beyond which they are dealt anew by a second anchor of each window; where that is crowded too,
+    windows are matched by key. ``filter_bytes``: most that a filter may hold;
     without it nothing is left out early and the result is the same. ``region_bytes``: text for a region of anchors."""
 
     window: int = 20
     anchor: int = 8
-    shard: int = 20_000
-    crowd: int = 40_000
+    shard: int = 4_000
+    crowd: int = 4_000
     filter_bytes: int = 128 << 20
     region_bytes: int = 16 << 20
 
 
-def segments(own: np.ndarray, rows: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
+def segments(own: np.ndarray, rows: np.ndarray, settings: Settings, salt: int = 0) -> tuple[np.ndarray, ...]:
     """Runs of windows of a text that share an anchor: text number, first and last window, hash of the anchor and of the run's words.
 
     The anchor of a window is its least anchor hash, the first of equal ones, so equal windows have equal anchors and lie in one shard.
@@ -51,6 +52,8 @@ def segments(own: np.ndarray, rows: np.ndarray, settings: Settings) -> tuple[np.
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     grams = rolling(own, q)
+    if salt:
+        grams = mix(grams ^ np.uint64(salt))
     span = w - q + 1
     least, have = grams, 1
     while have * 2 <= span:
@@ -177,6 +180,24 @@ def _match(table: pa.Table, settings: Settings) -> pa.Table:
     return pa.table({"id": pa.array(who[first], pa.int64()), "d": pa.array(which[first], pa.int64()), "a": pa.array(where[first].astype(np.int32)), "b": pa.array((where[last] + w).astype(np.int32))})
 
 
+def _dealt_anew(contents: DataFrame, settings: Settings) -> DataFrame:
+    """Segments of crowded anchors, cut where a second anchor of their windows changes: ``m`` of both anchors, ``id, d, low, words``. Equal windows have equal second anchors."""
+    w = settings.window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "words", 2 << 20):
+            raw = batch.column("words").to_pylist()
+            rows = np.cumsum([0, *(len(x) // 8 for x in raw)])
+            own = np.frombuffer(b"".join(raw), np.uint64)
+            doc, low, high, anchor, _ = segments(own, rows, settings, 0x7C8D3B1F5E6A9D24)
+            m = mix(batch.column("m").to_numpy().astype(np.uint64)[doc] * _BASE + anchor)
+            cut = [own[i:j].tobytes() for i, j in zip((rows[doc] + low).tolist(), (rows[doc] + high + w).tolist(), strict=True)]
+            ids, digests, start = (batch.column(c).to_numpy()[doc] for c in ("id", "d", "low"))
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(ids), pa.array(digests), pa.array((start + low).astype(np.int32)), pa.array(cut, pa.binary())], ["m", "id", "d", "low", "words"])
+
+    return contents.select("m", "id", "d", "low", "words").mapInArrow(run, "m long, id long, d long, low int, words binary")
+
+
 def _crowded(contents: DataFrame, settings: Settings) -> DataFrame:
     """The same for anchors with a crowd of distinct segments: windows are keyed one by one, and each key's first place comes from a partial aggregate."""
     w = settings.window
@@ -218,11 +239,14 @@ def repeats(docs: DataFrame, settings: Settings = Settings(), *, text: str = "te
         held = _filter_of(need.select("id", "d", "low").mapInArrow(places, "region int, keys binary, n binary"), regions, 1, settings)
         contents = _segments(docs, settings, anchors, held, True).join(need.select("m", "id", "d", "low", "k"), ["m", "id", "d", "low"])
         shards = max(1, -(-total // settings.shard))
-        calm = contents.where(F.col("k") <= settings.crowd) if crowds else contents
+        calm = contents.select("m", "id", "d", "low", "words", "k")
+        if crowds:
+            calm, anew = calm.where(F.col("k") <= settings.crowd), stash(_dealt_anew(calm.where(F.col("k") > settings.crowd), settings))
+            still = stash(anew.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > settings.crowd).select("m"))
+            out = out.unionByName(_crowded(anew.join(still, "m", "left_semi"), settings))
+            calm = calm.drop("k").unionByName(anew.join(still, "m", "left_anti").select("m", "id", "d", "low", "words"))
         dealt = calm.select(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard"), "id", "d", "low", "words")
         out = out.unionByName(dealt.groupBy("shard").applyInArrow(lambda table: _match(table, settings), "id long, d long, a int, b int"))
-        if crowds:
-            out = out.unionByName(_crowded(contents.where(F.col("k") > settings.crowd), settings))
     return out
 
 
@@ -237,7 +261,7 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str =
 
     Windows are dealt to shards by their anchor, the least hash of a few of their words. Anchors that stand once can't repeat and are left out by a
     filter. Equal segments fold into the first of them, with partial aggregates; the distinct ones of a shard are indexed, and each is streamed
-    against the index for its matching statistics.
+    against the index for its matching statistics. Segments of an anchor with a crowd are dealt anew by a second anchor.
     """
     given = docs.select(docs[carry or key].alias("key"), docs[text].alias("text"), F.coalesce(docs[key].cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(docs[text]).alias("d"))
     found = stash(repeats(docs, settings, text=text, key=key))
