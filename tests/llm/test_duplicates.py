@@ -128,7 +128,7 @@ def brute_repeats(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("crowded", "filtered"), [(40_000, 128 << 20), (2, 0)])
+@pytest.mark.parametrize(("crowded", "filtered"), [(4_000, 128 << 20), (2, 0), (9, 0)])
 def test_repeats(spark, docs, texts, empty, crowded, filtered):
     settings = Cut(crowd=crowded, filter_bytes=filtered, shard=7)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in deduplicate(docs, settings).collect()}
