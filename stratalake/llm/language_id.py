@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", key: str = "d
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], object)
         kinds = len(own.languages)
-        for batch in pieces(batches, "text", (32 << 20) // max(8, kinds)):  # scores of all words for all languages lie in memory
+        for batch in pieces(batches, "text", (16 << 20) // max(8, kinds)):  # scores of all words for all languages lie in memory
             n = batch.num_rows
             data, offsets = text_bytes(batch.column("text"))
             letters, ends, rows = words(LOWER[data], offsets)
