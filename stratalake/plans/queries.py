@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import transforms
 from ..functions.expr import FALSE, TRUE, Bool, Compiler, Expr, Registry, and_, builtin, call, col, keep, lit, not_, or_
-from ..operators import encodings, snapshots
+from ..operators import encodings, manifests, snapshots
 from ..operators.schema import identity
 from ..operators.log import Log
 from ..operators.table import Table
@@ -256,6 +256,21 @@ def iceberg_plan(spark, d):
     return v.agg(F.count(F.lit(1)).alias("files_total"), F.count_if(F.col("verdict") > 0).alias("files_scanned"), F.count_if(F.col("verdict") == 0).alias("files_skipped")).crossJoin(hit)
 
 
+@query(f"SELECT 'zone-' || zone AS path, n AS num_records, CASE WHEN lo >= 2500 AND hi <= 5200 THEN 2 ELSE 1 END AS verdict, CASE WHEN zone % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_deletes FROM (SELECT zone, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM {ZONED} GROUP BY zone) WHERE hi >= 2500 AND lo <= 5200 AND zone <> 3")
+def manifest_plan(spark, d):
+    """Files of a snapshot that may hold a renamed column's range: zone 3 was removed, even zones have a file of positions, and of two files of equal rows only the later applies."""
+    m = manifests.Manifests(spark, new_folder(spark, "manifests"))
+    df = _zoned(spark, d)
+    zone = F.concat(F.lit("zone-"), F.col("zone"))
+    names = [m.add(manifests.data_entries(df.select("o_orderkey", zone.alias("_file")), "_file", {"o_orderkey": 1}, 1))]
+    even = df.where("zone % 2 = 0").select(zone.alias("target")).distinct()
+    names.append(m.add(even.select(F.concat(F.lit("positions-"), "target").alias("path"), F.lit(manifests.POSITIONS).alias("content"), F.lit(2).alias("sequence"), "target")))
+    equal = spark.createDataFrame([("equal-1", manifests.EQUALITY, 1, False), ("equal-3", manifests.EQUALITY, 3, False), ("zone-3", manifests.DATA, 4, True)], "path string, content string, sequence long, removed boolean")
+    names.append(m.add(equal))
+    found = manifests.plan(m.entries(names), (col("key") >= 2500) & (col("key") <= 5200), {"key": T.LongType()}, {"key": 1})
+    return found.select("path", "num_records", "verdict", F.size("deletes").cast("long").alias("n_deletes"))
+
+
 @query(f"SELECT DISTINCT zone FROM {ZONED} WHERE o_custkey IN (77, 555, 1234)")
 def bloom_candidates(spark, d):
     df, values = _zoned(spark, d), [77, 555, 1234]
