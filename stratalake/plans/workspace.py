@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, or on one machine in a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="stratalake-")
+    """A new path in the cluster's shared folder, or, on one machine only, in a temporary one; a cluster without a shared folder is an error."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="stratalake-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ import pytest
 from stratalake.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FAST = [n for n in ORACLES if n.startswith(("scan", "filter", "in_list", "kleene", "boolean", "predicate", "function_registry", "cross", "nested_p", "variant", "file_stats", "zone", "column_p", "dictionary", "prune", "iceberg", "bloom", "index", "row_id", "log_r", "partition_t", "snapshot", "delta_e", "for_e", "dict_e", "runend", "datetime", "conflict", "window"))]
+FAST = [n for n in ORACLES if n.startswith(("scan", "filter", "in_list", "kleene", "boolean", "predicate", "function_registry", "cross", "nested_p", "variant", "file_stats", "zone", "column_p", "dictionary", "prune", "iceberg", "manifest", "bloom", "index", "row_id", "log_r", "partition_t", "snapshot", "delta_e", "for_e", "dict_e", "runend", "datetime", "conflict", "window"))]
 
 
 @pytest.fixture(scope="module")
