@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset on one machine, as in tests, a temporary one. A cluster without a shared folder is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if where is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="stratalake-")
         sc.setCheckpointDir(where)
     elif sc.getCheckpointDir() is None:
