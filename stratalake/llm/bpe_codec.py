@@ -19,6 +19,8 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BY_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 #: Pre-tokens of more bytes are encoded one by one; the result is the same.
 LONG = 48
+#: Bytes of text that are encoded at a time.
+_SLICE = 2 << 20
 
 
 class Codec:
@@ -263,7 +265,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", _SLICE):
             ids, ends = own.encode(batch.column("text"), pattern)
             data, data_ends = own.decode(ids, ends)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -279,7 +281,7 @@ def digests(docs: DataFrame, vocabulary: str, *, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in pieces(batches, "text", 6 << 20):
+        for batch in pieces(batches, "text", _SLICE):
             ids, ends = own.encode(batch.column("text"), pattern)
             data, data_ends = own.decode(ids, ends)
             ids = ids.astype("<u4")
