@@ -21,6 +21,8 @@ from .shingles import rolling, word_hashes
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _BACK = np.uint64(pow(0x9FB21C651E98DF25, -1, 2**64))
 _NO_ID = 2**63 - 1
+#: Bytes of text that are cut into segments at a time.
+_SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -117,7 +119,7 @@ def _repeated_anchors(docs: DataFrame, settings: Settings) -> Broadcast | None:
     regions = max(16, -(-size // settings.region_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _SLICE):
             yield _packed(segments(*word_hashes(batch.column("text"), lower=False), settings)[3], regions, ["region", "keys", "n"])
 
     return _filter_of(docs.select("text").mapInArrow(run, "region int, keys binary, n binary"), regions, 2, settings)
@@ -127,7 +129,7 @@ def _segments(docs: DataFrame, settings: Settings, anchors: Broadcast | None, pl
     """Segments whose anchor, or whose place, a filter may hold; ``content`` adds the hashes of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _SLICE):
             own, rows = word_hashes(batch.column("text"), lower=False)
             doc, low, high, anchor, hashed = segments(own, rows, settings)
             ids, digests = _ids(batch.column("id"))[doc], batch.column("d").to_numpy()[doc]
@@ -268,7 +270,7 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings(), *, text: str =
     spans = found.distinct().groupBy("id", "d").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _SLICE):
             data, offsets = text_bytes(batch.column("text"))
             letters, ends, rows = words(data, offsets)
             gone = np.zeros(len(ends), np.int32)
