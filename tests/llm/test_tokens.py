@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -53,6 +54,17 @@ def test_codec(docs, texts, empty):
     assert digests(empty, RANKS).count() == 0
 
 
+def test_decoding_takes_little_more_than_its_bytes():
+    own, text = codec(RANKS), " ".join(f"word{i % 977} und der" for i in range(60_000)).encode()
+    ids, ends = own.encode(pa.array([text.decode()]))
+    tracemalloc.start()
+    data, data_ends = own.decode(ids, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert data.tobytes() == text and data_ends.tolist() == [0, len(text)]
+    assert peak < 20 * len(ids) + 2 * len(text) + (4 << 20)
+
+
 def test_edits():
     own, r = codec(RANKS), random.Random(3)
     p = Prefixes(own, b"unbelievable" * 30)
