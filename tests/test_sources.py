@@ -4,6 +4,8 @@ import decimal
 import io
 
 import pytest
+import pyarrow.parquet as pq
+from pyarrow import orc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,3 +77,27 @@ def test_files(spark, tmp_path):
     assert files.file_stats(spark.read.parquet(f"{tmp_path}/p")).count() == 3
     files.write(df, f"{tmp_path}/o", "orc")
     assert files.stripes(spark, f"{tmp_path}/o").agg(F.sum("num_rows")).first()[0] == 1000
+
+
+def test_footers_are_read_without_the_files(spark, tmp_path):
+    path = f"{tmp_path}/a b%+"
+    df = spark.range(0, 60_000, 1, 1).select("id", F.hash("id").alias("h"))
+    df.write.option("parquet.block.size", 100_000).option("parquet.block.size.row.check.max", 1000).parquet(path)
+    rows = files.footers(spark, path).orderBy("row_group").collect()
+    made = pq.read_metadata(rows[0]["file"].removeprefix("file:"))
+    assert len(rows) == made.num_row_groups > 2
+    assert [(r["num_rows"], r["total_bytes"]) for r in rows] == [(made.row_group(i).num_rows, made.row_group(i).total_byte_size) for i in range(len(rows))]
+    own = files.row_group(spark, path, 1, ["id"])
+    first = rows[0]["num_rows"]
+    assert sorted(r["id"] for r in own.collect()) == list(range(first, first + rows[1]["num_rows"])) and own.columns == ["id"]
+    assert files.row_group(spark, path, 1).columns == ["id", "h"] and files.row_group(spark, path, len(rows)).count() == 0
+    for frame in (files.footers(spark, path), own):
+        assert "content" not in frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_stripes_as_their_files_say(spark, tmp_path):
+    for codec in ("none", "snappy", "zstd"):
+        files.write(spark.range(0, 1000, 1, 1), f"{tmp_path}/{codec}", "orc", codec=codec)
+        r = files.stripes(spark, f"{tmp_path}/{codec}").first()
+        f = orc.ORCFile(r["file"].removeprefix("file:"))
+        assert (r["n_stripes"], r["num_rows"], r["codec"]) == (f.nstripes, f.nrows, str(f.compression))
