@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.expr import DEFAULT, Compiler, Expr, Registry, and_, col, lit
 from ..plans.prune import NEVER, Pruner, Stats
 from ..plans.stats import leaves, unit_stats, zones
+from ..sources.files import concatenate
 from .log import CHECKPOINT_EVERY, CommitConflict, Log, now_ms
 from .schema import check_widening, drop_field, find_field, logical_type, physical_type, with_field
 from .txn import WRITE_SERIALIZABLE, ConcurrentModification, ReadSet, conflict
@@ -330,8 +331,8 @@ class Table:
                 out = out.withColumn(first, F.when(~F.coalesce(F.expr(rule), F.lit(True)), F.raise_error(F.lit(f"CHECK {name[11:]} fails")).cast(out.schema[first].dataType)).otherwise(_q(first)))
         return out, actions
 
-    def _write(self, df: DataFrame, snap: Snapshot, data_change: bool = True) -> list[dict]:
-        """Writes data files and returns their add actions, with statistics of every file."""
+    def _write(self, df: DataFrame, snap: Snapshot, data_change: bool = True, whole: bool = False) -> list[dict]:
+        """Writes data files, with ``whole`` one of each partition, and returns their add actions, with statistics of every file."""
         physical = physical_type(snap.schema)
         columns = [_q(f.name).cast(p.dataType).alias(p.name) for f, p in zip(snap.schema.fields, physical.fields, strict=True)]
         tracked = "_row_id" in df.columns
@@ -347,8 +348,21 @@ class Table:
         writer.parquet(f"{self.log.store.uri}/{folder}")
         while self._held:
             self._held.pop().unpersist()
+        if whole:
+            self._join(folder)
         return self._adds(folder, snap, data_change)
 
+    def _join(self, folder: str) -> None:
+        """Makes the files of each folder one."""
+        parts: dict[str, list[str]] = {}
+        for p in sorted(p for p, *_ in self.log.store.walk(folder) if p.endswith(".parquet")):
+            parts.setdefault(p.rsplit("/", 1)[0], []).append(p)
+        for at, names in parts.items():
+            if len(names) > 1:
+                concatenate(self.spark, [self.log.store.path(p) for p in names], self.log.store.path(f"{at}/whole-{uuid.uuid4().hex}.parquet"))
+                for p in names:
+                    self.log.store.delete(p)
+
     def _adds(self, folder: str, snap: Snapshot, data_change: bool) -> list[dict]:
         files = {p: (size, at) for p, size, at in self.log.store.walk(folder) if p.endswith(".parquet")}
         if not files:
@@ -573,19 +587,22 @@ class Table:
         return out
 
     # -- maintenance -------------------------------------------------------------------------------------------------------------------
-    def compact(self, small_bytes: int = 32 << 20, target_bytes: int = 128 << 20, most_files: int = 100, masked: bool = True) -> int | None:
-        """Rewrites small files, and with ``masked`` those with masks, into files near the target size; rows stay the same. Returns the version, or None if there is nothing to do."""
+    def compact(self, small_bytes: int = 32 << 20, target_bytes: int = 128 << 20, most_files: int = 100, masked: bool = True, whole: bool = False) -> int | None:
+        """Rewrites small files, and with ``masked`` those with masks, into files near the target size; with ``whole`` all files of a partition into one, whatever the sizes. Rows stay the same. Returns the version, or None if there is nothing to do."""
         snap = self.snapshot()
         files = snap.files.select("path", "dv", "baseRowId", "partitionValues", "size").collect()
         groups: dict[tuple, list] = {}
         for r in sorted(files, key=lambda r: r["size"]):
-            if r["size"] < small_bytes or (masked and r["dv"]):
+            if whole or r["size"] < small_bytes or (masked and r["dv"]):
                 groups.setdefault(tuple(sorted((r["partitionValues"] or {}).items(), key=str)), []).append(r)
-        chosen = [r for g in groups.values() if len(g) >= 2 or g[0]["dv"] for r in g][:most_files]
+        chosen = [r for g in groups.values() if len(g) >= 2 or g[0]["dv"] for r in g][: None if whole else most_files]
         if not chosen:
             return None
         rows = self._rows(snap, chosen)
         rows = rows.select(*snap.schema.names, *(["_row_id"] if self.on("rowTracking", snap) else []))
+        if whole:  # written in parallel, then joined
+            made = self._write(rows, snap, data_change=False, whole=True)
+            return self._commit([*self._removes(chosen, False), *made], "OPTIMIZE", {}, snap.version, ReadSet(files={r["path"] for r in chosen}))
         n = max(1, -(-sum(r["size"] for r in chosen) // target_bytes))
         rows = rows.repartition(n, *[_q(c) for c in snap.partition_by]) if snap.partition_by else rows.coalesce(n)
         return self._commit([*self._removes(chosen, False), *self._write(rows, snap, data_change=False)], "OPTIMIZE", {}, snap.version, ReadSet(files={r["path"] for r in chosen}))

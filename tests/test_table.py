@@ -303,3 +303,23 @@ def test_lineage_of_any_length(spark):
     line = lambda start: sorted((r["depth"], r["snapshot_id"]) for r in snapshots.lineage(frame, start).collect())
     assert line(699) == [(i, 699 - i) for i in range(700)]
     assert line(1000) == [(0, 1000), (1, 1001)] and line(2000) == [(0, 2000)] and line(7777) == []
+
+
+def test_whole_compaction_makes_one_file_of_any_size(spark, path):
+    t = Table.create(spark, path, "id long, v string", properties={"rowTracking": True})
+    for i in range(3):
+        t.append(spark.range(i * 100, i * 100 + 100, 1, 4).select("id", F.concat(F.lit("v"), F.col("id") % 7).alias("v")))
+    t.delete(col("id") < 10)
+    before = sorted(map(tuple, t.scan_with_stable_ids().collect()))
+    t.compact(small_bytes=1, target_bytes=1, most_files=2, whole=True)  # sizes and the most files of a plain compaction don't matter
+    assert t.snapshot().files.select("dv").collect() == [(None,)]
+    assert sorted(map(tuple, t.scan_with_stable_ids().collect())) == before and len(before) == 290
+    assert ids(t.scan(filter=col("id") == 150)) == [150]
+
+
+def test_whole_compaction_keeps_partitions_apart(spark, path):
+    t = Table.create(spark, path, "id long, region string", partition_by=["region"])
+    t.append(spark.createDataFrame([(i, r) for i, r in enumerate(("us", "a/b c%", None, "us", "a/b c%", None))], t.schema).repartition(3))
+    t.append(spark.createDataFrame([(6, "us")], t.schema))
+    t.compact(whole=True)
+    assert t.snapshot().files.count() == 3 and ids(t.scan()) == list(range(7)) and ids(t.scan(filter=col("region") == "us")) == [0, 3, 6]
