@@ -11,7 +11,7 @@ def orders(spark, path, n=4000):
     df.orderBy(F.hash("o_orderkey")).coalesce(1).write.parquet(f"{path}/orders.parquet")
 
 
-@pytest.mark.parametrize("name", ["row_tracking", "row_tracking_merge", "row_range_slice", "point_read_by_rowid"])
+@pytest.mark.parametrize("name", ["prune_partition", "row_tracking", "row_tracking_merge", "row_range_slice", "point_read_by_rowid"])
 def test_no_file_holds_a_fixed_share(spark, tmp_path, monkeypatch, name):
     orders(spark, tmp_path)
     monkeypatch.setattr(queries, "RANGE_BYTES", 2000)
