@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.plans import queries
+from stratalake.plans.stats import unit_stats
 
 
 def orders(spark, path, n=4000):
@@ -33,3 +34,11 @@ def test_no_file_holds_a_fixed_share(spark, tmp_path, monkeypatch, name):
         assert sorted(r["o_orderkey"] for r in rows) == list(range(1000, 1250))
     else:
         assert sorted(r["o_orderkey"] for r in rows) == list(range(7, 4000, 200))
+
+
+def test_statistics_of_files_need_no_sort(spark):
+    df = spark.range(10).select(F.lit("f").alias("_path"), F.col("id").cast("string").alias("s"))
+    made = unit_stats(df, "_path")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    assert made.select("num_records", "min.s").first() == (10, "0")
